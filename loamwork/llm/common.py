@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch handed to Python; with the byte bound below it limits a worker's memory.
 ARROW_ROWS = 1000
@@ -54,11 +56,12 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict], schema: str) -> DataFrame:
     """mapInArrow over the named columns: fn gets one list for each and returns lists by output column."""
     bounded_batches(df.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(*(batch.column(c).to_pylist() for c in columns)))
+                yield pa.RecordBatch.from_pydict(fn(*(batch.column(c).to_pylist() for c in columns)), schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
 

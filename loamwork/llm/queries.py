@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import language, packing, token_count
+from loamwork.llm import language, media, packing, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_count.query,
+        "op4_media": media.query,
         "op5_packing": packing.query,
         "op8_language_id": language.query,
     }

@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import language, media, packing, token_count
+from loamwork.llm import language, media, mixing, packing, secrets, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_count.query,
+        "op2_mixing": mixing.query,
         "op4_media": media.query,
         "op5_packing": packing.query,
         "op8_language_id": language.query,
+        "op9_secrets": secrets.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.ORACLE_SQL}

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import language, media, mixing, packing, secrets, token_count
+from loamwork.llm import language, media, mixing, packing, secrets, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_count.query,
         "op2_mixing": mixing.query,
+        "op3_toxicity": toxicity.query,
         "op4_media": media.query,
         "op5_packing": packing.query,
         "op8_language_id": language.query,

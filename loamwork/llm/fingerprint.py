@@ -67,21 +67,25 @@ def densified(entries: Column) -> Column:
 
     An empty bin takes the first full one of its table of tries, else the full bin that hashes least with it.
     """
-    full = F.sort_array(entries)
-    before = lambda i: F.coalesce(F.get(full, i - 1)["bin"], F.lit(-1))
+    # one foldable literal: thousands of literal nodes would slow the planner
+    table = F.split(F.lit(",".join(str(_try(i, t)) for i in range(BINS) for t in range(TRIES))), ",").cast("array<int>")
     gap = lambda n: F.array_repeat(F.lit(None).cast("long"), n)
-    dense = F.concat(
-        F.flatten(F.transform(full, lambda e, i: F.concat(gap(e["bin"] - F.when(i == 0, -1).otherwise(before(i)) - 1), F.array(e["value"])))),
-        gap(BINS - 1 - F.element_at(full, -1)["bin"]),
-    )
-    table = F.array(*[F.lit(_try(i, t)) for i in range(BINS) for t in range(TRIES)])
 
-    def fill(v: Column, i: Column, dense: Column) -> Column:
+    def spread(full: Column) -> Column:
+        before = lambda i: F.when(i == 0, -1).otherwise(F.get(full, i - 1)["bin"])
+        return F.concat(F.flatten(F.transform(full, lambda e, i: F.concat(gap(e["bin"] - before(i) - 1), F.array(e["value"])))), gap(BINS - 1 - F.element_at(full, -1)["bin"]))
+
+    def fill(full: Column, dense: Column, v: Column, i: Column) -> Column:
         last = F.array_min(F.transform(full, lambda e: F.struct(F.xxhash64(i, e["bin"]).alias("order"), e["value"].alias("value"))))["value"]
         return F.coalesce(v, *[F.get(dense, F.get(table, i * TRIES + t)) for t in range(TRIES)], last).bitwiseAND((1 << BITS) - 1).cast("int")
 
-    bound = F.transform(F.array(dense), lambda d: F.transform(d, lambda v, i: fill(v, i, d)))
-    return F.when(F.size(full) > 0, F.get(bound, F.lit(0)))
+    signature = _bind(F.sort_array(entries), lambda full: _bind(spread(full), lambda dense: F.transform(dense, lambda v, i: fill(full, dense, v, i))))
+    return F.when(F.size(entries) > 0, signature)
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _try(i: int, t: int) -> int:

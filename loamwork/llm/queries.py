@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import fingerprint, language, media, mixing, packing, secrets, token_count, toxicity
+from loamwork.llm import fingerprint, jaccard_join, language, media, mixing, packing, secrets, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fingerprints": fingerprint.query,
         "op8_language_id": language.query,
         "op9_secrets": secrets.query,
+        "op10_ngram_jaccard_join": jaccard_join.query,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import fingerprint, jaccard_join, language, media, mixing, packing, secrets, token_count, toxicity
+from loamwork.llm import fingerprint, jaccard_join, language, media, mixing, packing, secrets, suffix_dedup, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.query,
         "op4_media": media.query,
         "op5_packing": packing.query,
+        "op6_suffix_dedup": suffix_dedup.query,
         "op7_fingerprints": fingerprint.query,
         "op8_language_id": language.query,
         "op9_secrets": secrets.query,

@@ -35,21 +35,27 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so that lost executors cost nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, set as the context's checkpoint folder.
 
-    The folder is the one the session names in spark.checkpoint.dir.  Where that is unset (tests on one
-    machine) a fresh local folder is set; a cluster without the setting is refused.
+    Where that is unset (tests on one machine) a fresh local folder is set; a cluster without the setting is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = tempfile.mkdtemp(prefix="loamwork-checkpoint-")
-        sc.setCheckpointDir(named)
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="loamwork-checkpoint-")
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it back, so that lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

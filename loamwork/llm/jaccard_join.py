@@ -34,6 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -320,5 +321,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return linked.union(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of linked rows: the least doc_id's (null counts above all), one of equals.
+
+    Rows without words, null or empty, all stay.  All columns are kept.
+    """
+    own, links = jaccard_links(docs)
+    of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "sig", "component": "_c"})
+    top = (1 << 63) - 1
+    placed = own.filter("n > 0").select(F.coalesce("doc_id", F.lit(top)).alias("_id"), "sig").join(of, "sig", "left").withColumn("_c", F.coalesce("_c", "sig"))
+    # the ids that go, of all linked and equal rows: far fewer than all ids, so that texts need not move where Spark can broadcast them
+    least = placed.groupBy("_c").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    goes = shared_checkpoint(placed.join(least, "_c").filter("_id != _least").select("_id").distinct())
+    again = shared_checkpoint(placed.join(least, "_c").filter("_id = _least").groupBy("_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("_k").alias("_k")).filter("_rows > 1").select("_id"))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(top)))
+    kept = keyed.join(goes, "_id", "left_anti")
+    return _one_of_equal_ids(kept, again).drop("_id")
+
+
+def _one_of_equal_ids(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows with one row, the least, of each id in repeated; most inputs have no such id."""
+    if repeated.isEmpty():
+        return rows
+    several = rows.join(repeated, "_id", "left_semi")
+    w = W.partitionBy("_id").orderBy("text", *[c for c in rows.columns if c not in ("_id", "text")])
+    one = several.filter(F.length(F.trim("text")) > 0).withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
+    return rows.join(repeated, "_id", "left_anti").unionByName(one).unionByName(several.filter(F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))

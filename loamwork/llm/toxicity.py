@@ -13,7 +13,7 @@ evidence is divided by the weight of the voters it goes along with, and the mode
 Classifier.  A logistic regression on the presence of lexicon words and beginnings is trained on the posterior
 labels of training documents and scores every text: a linear score, never a label, lang, source or doc_id.
 
-Bounds.  Mined entries (``most``), vote patterns (a voter has two votes at most) and the classifier's ``sample``
+Bounds.  Lexicons are mined from an expected 20,000 labelled rows (``labelled(sample=)``).  Mined entries (``most``), vote patterns (a voter has two votes at most) and the classifier's ``sample``
 patterns are the only things that reach the driver; counts and patterns cover all documents.
 """
 
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import bounded_batches, crc32_remainder, documents, id_text, map_rows
+from loamwork.llm.common import bounded_batches, crc32_remainder, documents, id_text, map_rows, shared_checkpoint
 
 # English words that insult or demean a person.
 INSULTS = [
@@ -91,10 +91,16 @@ class Lexicons:
         return hits, votes
 
 
-def labelled(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
-    """text and toxic (0 or 1) of the labelled rows that may be learned from; one row for each document and label."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").distinct()
-    return id_text(docs).filter(crc32_remainder(F.col("doc_id"), modulus) != held).join(marks, "doc_id").select("text", "toxic")
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = 20_000, modulus: int = 3, held: int = 1) -> DataFrame:
+    """text and toxic (0 or 1) of labelled rows that may be learned from; one row for each document and label.
+
+    sample: the expected number of labels used, chosen by a hash of doc_id; so they can be broadcast and no text moves.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    marks = marks.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc32_remainder(F.col("doc_id"), modulus) != held))
+    rate = min(1.0, sample / max(1, marks.count()))
+    unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.lit(1 << 30)) / float(1 << 30)
+    return id_text(docs).join(F.broadcast(marks.filter(unit < rate).distinct()), "doc_id").select("text", "toxic")
 
 
 def mine(rows: DataFrame, most: int = 3000) -> Lexicons:
@@ -220,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> ToxicityMod
     source = id_text(docs).select(F.coalesce(crc32_remainder(F.col("doc_id"), 3) != 1, F.lit(False)).cast("int").alias("learn"), "text")
     cast = map_rows(source, ["learn", "text"], vote, "learn int, hits array<int>, votes string")
     # a pattern of votes and features, how often, and how often among rows that may be learned from
-    grouped = cast.groupBy("votes", "hits").agg(F.count(F.lit(1)).alias("n"), F.sum("learn").alias("learn"))
+    grouped = shared_checkpoint(cast.groupBy("votes", "hits").agg(F.count(F.lit(1)).alias("n"), F.sum("learn").alias("learn")))
     patterns = grouped.groupBy("votes").agg(F.sum("n").alias("n")).collect()
     shape = (len(patterns), len(VOTERS))
     votes = np.array([[int(c) for c in r["votes"]] for r in patterns], dtype=np.int64).reshape(shape)

@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch handed to Python; with the byte bound below it limits a worker's memory.
 ARROW_ROWS = 1000
+ARROW_BYTES = 32 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -33,6 +35,8 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keep Arrow batches small: texts may be long, and a worker holds a whole batch."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.conf.isModifiable(_BATCH_BYTES):
+        spark.conf.set(_BATCH_BYTES, str(ARROW_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -17,9 +17,9 @@ passages out of the lists.  Every step is exact, and skew is met so:
 * Lists are dealt by element, many to a bucket, as packed columns.  An element whose sketch count, never too low,
   exceeds ``HOT`` is dealt over several buckets as well; no task's list grows without bound.
 * A list of at most ``SMALL_LIST`` sets gives all its pairs that pass the size and position bounds.  A longer one
-  first gives each set's pair with the list's least set.  These pairs are verified and joined to components, and
-  only pairs of different components in the longer lists follow, so a large group of near copies costs a pair or
-  two for each copy and no link between different texts' components is lost.
+  first gives each set's pairs with its ``LEADERS`` least sets.  These pairs are verified and joined to components,
+  and only pairs of different components in the longer lists follow, so a large group of near copies costs a few
+  pairs for each copy and no link between different components is lost.
 * Pairs are first tested by 1024-bit parity sketches, a lower bound of the sets' difference, then verified on the
   whole sets, which are read again for the sets in question alone.
 """
@@ -33,6 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ from pyspark.sql.types import StructType
 
 from loamwork.llm.common import bounded_batches, documents, id_text, map_rows, shared_checkpoint
 from loamwork.llm.components import components
+from loamwork.llm.rowfilter import anti_join, semi_join
 from loamwork.llm.shingles import mix, set_identity, shingle_set
 
 SKETCH = 22
@@ -48,10 +50,12 @@ SKETCH_BLOCKS = 64
 PARITY_WORDS = 16
 LARGEST_BOUNDARY = 10
 SMALL_LIST = 48
+#: Sets of a longer list that each of its sets is compared with first.
+LEADERS = 16
 HOT = 200_000
 #: Sub-buckets of a hot element.
 SALTS = 64
-ENTRIES_A_BUCKET = 1_500_000
+ENTRIES_A_BUCKET = 500_000
 
 
 def needed(n: int) -> int:
@@ -152,7 +156,7 @@ def _entries(s: np.ndarray, levels: np.ndarray, boundary: int):
 def _lists(rows: DataFrame, levels: np.ndarray, hot: int, boundary: int, buckets: int) -> DataFrame:
     """Packed list entries by bucket: the sets (sig, n) of a batch, and key, set number and place of each entry."""
     bounded_batches(rows.sparkSession)
-    schema = "bucket long, sigs binary, sizes binary, keys binary, owners binary, places binary"
+    schema = "bucket long, hot boolean, sigs binary, sizes binary, keys binary, owners binary, places binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     shared = rows.sparkSession.sparkContext.broadcast(levels)  # 2 ** SKETCH bytes, whatever the input
 
@@ -165,16 +169,18 @@ def _lists(rows: DataFrame, levels: np.ndarray, hot: int, boundary: int, buckets
             owner = np.repeat(np.arange(len(made)), [len(k) for k, _, _ in made])
             key, place, rank = (np.concatenate([m[i] for m in made]) for i in range(3))
             sig, size = np.array(list(sets), dtype=np.int64), np.array([len(s) for s in sets.values()], dtype=np.int32)
-            spread = np.where(rank >= hot, mix(sig[owner].view(np.uint64)) % np.uint64(SALTS), np.uint64(0))
+            is_hot = rank >= hot
+            spread = np.where(is_hot, mix(sig[owner].view(np.uint64)) % np.uint64(SALTS), np.uint64(0))
             bucket = (mix(key + spread) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            part_of = 2 * bucket + is_hot
+            order = np.argsort(part_of, kind="stable")
+            edges = np.flatnonzero(np.diff(part_of[order], prepend=-1))
             out: dict[str, list] = {name: [] for name in arrow.names}
             for part in np.split(order, edges[1:]):
                 own, number = np.unique(owner[part], return_inverse=True)
-                values = (int(bucket[part[0]]), sig[own].tobytes(), size[own].tobytes(), key[part].tobytes(), number.astype(np.uint16).tobytes(), place[part].astype(np.int32).tobytes())
+                values = (int(bucket[part[0]]), bool(is_hot[part[0]]), sig[own].tobytes(), size[own].tobytes(), key[part].tobytes(), number.astype(np.uint16).tobytes(), place[part].astype(np.int32).tobytes())
                 for name, v in zip(out, values):
-                    out[name].append(v if name == "bucket" else v)
+                    out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return rows.mapInArrow(run, schema)
@@ -187,57 +193,65 @@ def _passes(na, pa_, nb, pb):
     return (4 * small >= 3 * large) & ((pa_ < 0) | (7 * ahead >= 3 * (na + nb)))
 
 
-def _bucket_pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (key null) of the bucket's short lists and least-set pairs of its long ones; entries of long lists."""
-    sig, n, keys, place = [], [], [], []
-    for b in batches:
-        for sigs, sizes, ks, owners, places in zip(*(b.column(c).to_pylist() for c in ("sigs", "sizes", "keys", "owners", "places"))):
-            own = np.frombuffer(owners, np.uint16)
-            sig.append(np.frombuffer(sigs, np.int64)[own])
-            n.append(np.frombuffer(sizes, np.int32)[own])
-            keys.append(np.frombuffer(ks, np.uint64))
-            place.append(np.frombuffer(places, np.int32))
-    sig, n, keys, place = map(np.concatenate, (sig, n, keys, place))
-    # elements of one set alone go first: most of them
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-    sig, n, keys, place = sig[shared], n[shared].astype(np.int64), keys[shared], place[shared].astype(np.int64)
-    order = np.lexsort((sig, keys))
-    sig, n, keys, place = sig[order], n[order], keys[order], place[order]
-    first = np.ones(len(sig), dtype=bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (sig[1:] != sig[:-1])
-    sig, n, keys, place = sig[first], n[first], keys[first], place[first]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
-    lengths = np.diff(np.append(starts, len(keys)))
-    left, right = [], []
-    for length in np.unique(lengths[(lengths > 1) & (lengths <= SMALL_LIST)]):
-        rows = starts[lengths == length][:, None]
-        i, j = np.triu_indices(length, 1)
-        left.append((rows + i).ravel())
-        right.append((rows + j).ravel())
-    long = lengths > SMALL_LIST
-    if long.any():
-        at = np.concatenate([np.arange(s + 1, s + m) for s, m in zip(starts[long], lengths[long])])
-        left.append(np.repeat(starts[long], lengths[long] - 1))
-        right.append(at)
-    out = {"a": [], "b": [], "key": [], "n": [], "place": []}
-    if left:
+_PAIR_SCHEMA = "a long, b long, key long, n long, place long, lead long"
+_PAIR_ARROW = pa.schema([(name, pa.int64()) for name in ("a", "b", "key", "n", "place", "lead")])
+
+
+def _bucket_pairs(short: int):
+    """Pairs (key null) of a bucket's lists of at most ``short`` sets and pairs with the first sets of its longer ones; the entries
+    (sig in a, key, n, place) of longer lists and of hot elements' lists, whose least set here is lead."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, n, keys, place, hot = [], [], [], [], []
+        for b in batches:
+            for warm, sigs, sizes, ks, owners, places in zip(*(b.column(c).to_pylist() for c in ("hot", "sigs", "sizes", "keys", "owners", "places"))):
+                own = np.frombuffer(owners, np.uint16)
+                sig.append(np.frombuffer(sigs, np.int64)[own])
+                n.append(np.frombuffer(sizes, np.int32)[own])
+                keys.append(np.frombuffer(ks, np.uint64))
+                place.append(np.frombuffer(places, np.int32))
+                hot.append(np.full(len(own), warm))
+        sig, n, keys, place, hot = map(np.concatenate, (sig, n, keys, place, hot))
+        # elements of one set alone go first: most of them; a hot element has other sets in other buckets
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same)) | hot[order]]
+        sig, n, keys, place, hot = sig[shared], n[shared].astype(np.int64), keys[shared], place[shared].astype(np.int64), hot[shared]
+        order = np.lexsort((sig, keys))
+        sig, n, keys, place, hot = sig[order], n[order], keys[order], place[order], hot[order]
+        first = np.ones(len(sig), dtype=bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (sig[1:] != sig[:-1])
+        sig, n, keys, place, hot = sig[first], n[first], keys[first], place[first], hot[first]
+        if not len(sig):
+            return
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        lengths = np.diff(np.append(starts, len(keys)))
+        none = np.empty(0, dtype=np.int64)
+        left, right = [none], [none]
+        whole = (lengths <= short) & ~hot[starts]
+        for length in np.unique(lengths[whole & (lengths > 1)]):
+            rows = starts[whole & (lengths == length)][:, None]
+            i, j = np.triu_indices(length, 1)
+            left.append((rows + i).ravel())
+            right.append((rows + j).ravel())
+        long = np.flatnonzero(~whole)
+        members = np.concatenate([none, *(np.arange(starts[k], starts[k] + lengths[k]) for k in long)])
+        leads = np.repeat(starts[long], lengths[long])
+        for k in range(LEADERS):  # each member with the list's first sets; sigs are hashes, so these are any sets
+            ahead = members > leads + k
+            left.append(leads[ahead] + k)
+            right.append(members[ahead])
         a, b = np.concatenate(left), np.concatenate(right)
         ok = _passes(n[a], place[a], n[b], place[b])
         pairs = np.unique(np.stack([sig[a[ok]], sig[b[ok]]], axis=1), axis=0)
-        members = np.concatenate([np.arange(s, s + m) for s, m in zip(starts[long], lengths[long])]) if long.any() else np.empty(0, dtype=np.int64)
-        nothing = np.full(len(pairs), -1)
-        out = {
-            "a": np.concatenate((pairs[:, 0], sig[members])), "b": np.concatenate((pairs[:, 1], sig[members])),
-            "key": pa.array(np.concatenate((np.zeros(len(pairs), np.int64), keys[members].view(np.int64))), mask=np.arange(len(pairs) + len(members)) < len(pairs)),
-            "n": np.concatenate((nothing, n[members])), "place": np.concatenate((nothing, place[members])),
-        }
-    yield pa.RecordBatch.from_pydict(out, schema=_PAIR_ARROW)
+        k = len(pairs)
+        empty = lambda values: pa.array(np.concatenate((np.zeros(k, np.int64), values)), mask=np.arange(k + len(members)) < k)
+        yield pa.RecordBatch.from_pydict({
+            "a": np.concatenate((pairs[:, 0], sig[members])), "b": np.concatenate((pairs[:, 1], sig[members])), "key": empty(keys[members].view(np.int64)),
+            "n": empty(n[members]), "place": empty(place[members]), "lead": empty(sig[leads]),
+        }, schema=_PAIR_ARROW)
 
-
-_PAIR_SCHEMA = "a long, b long, key long, n long, place long"
-_PAIR_ARROW = pa.schema([(name, pa.int64()) for name in ("a", "b", "key", "n", "place")])
+    return run
 
 
 def _sum(values: Column) -> Column:
@@ -259,14 +273,39 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", "rep"), "sig")
-    texts = rows.join(wanted.select(F.col("rep").alias("doc_id"), "sig"), "doc_id").dropDuplicates(["sig"])
-    whole = map_rows(texts, ["sig", "text"], lambda s, t: {"sig": s, "set": [shingle_set(x).view(np.int64) for x in t]}, "sig long, set array<long>")
-    side = lambda x: whole.select(F.col("sig").alias(x), F.col("set").alias(f"_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(7 * shared >= 3 * (F.size("_a") + F.size("_b"))).select("a", "b")
+    """The pairs whose whole sets reach the threshold.
+
+    One text of each set in question is read again and travels compressed, which is less than its hashes; a pair
+    carries b's text to a's, and the sets are compared there.
+    """
+    wanted = shared_checkpoint(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", F.col("rep").alias("doc_id")), "sig"))
+    # the text must be the one with this set: a doc_id may have several rows
+    texts = semi_join(rows, wanted, ["doc_id"])
+
+    def squeeze(sigs: list[int], texts: list[str]) -> dict:
+        tool = zstandard.ZstdCompressor(level=3)
+        good = [(s, tool.compress(t.encode())) for s, t in zip(sigs, texts) if set_identity(shingle_set(t)) == s]
+        return {"sig": [g[0] for g in good], "z": [g[1] for g in good]}
+
+    squeezed = map_rows(texts, ["sig", "text"], squeeze, "sig long, z binary").groupBy("sig").agg(F.first("z").alias("z"))
+    squeezed = shared_checkpoint(squeezed)
+    side = lambda x: squeezed.select(F.col("sig").alias(x), F.col("z").alias(f"z{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+
+    def compare(a: list[int], b: list[int], za: list[bytes], zb: list[bytes]) -> dict:
+        tool = zstandard.ZstdDecompressor()
+        last, own, out = None, None, {"a": [], "b": []}
+        for x, y, z, w in zip(a, b, za, zb):
+            if x != last:  # pairs come sorted by a
+                last, own = x, shingle_set(tool.decompress(z).decode())
+            other = shingle_set(tool.decompress(w).decode())
+            shared = len(np.intersect1d(own, other, assume_unique=True))
+            if 7 * shared >= 3 * (len(own) + len(other)):
+                out["a"].append(x)
+                out["b"].append(y)
+        return out
+
+    return map_rows(both, ["a", "b", "za", "zb"], compare, "a long, b long")
 
 
 def _cross_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -294,11 +333,14 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     boundary = choose_boundary({s: k for s, (k, _) in sizes.items()})
     buckets = max(16, math.ceil(sum(e for _, e in sizes.values()) / ENTRIES_A_BUCKET))
     lists = _lists(rows, levels, hot, boundary, buckets)
-    found = shared_checkpoint(lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_pairs, _PAIR_SCHEMA))
-    first = shared_checkpoint(_plausible(found.filter("key is null"), sets))
+    found = shared_checkpoint(lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_pairs(SMALL_LIST), _PAIR_SCHEMA))
+    # the least sets of one element's buckets meet here
+    leads = found.filter("key is not null").select("key", "lead").distinct()
+    tops = leads.groupBy("key").agg(F.min("lead").alias("a"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    across = leads.join(tops, "key").filter("lead != a").select("a", F.col("lead").alias("b"))
+    first = shared_checkpoint(_plausible(found.filter("key is null").select("a", "b").union(across), sets))
     links = shared_checkpoint(_verified(first, rows, sets))
     members = found.filter("key is not null").select("key", F.col("a").alias("sig"), "n", "place").distinct()
-    # a hot element's lists lie in several buckets: their least sets meet here
     second = shared_checkpoint(_plausible(_cross_pairs(members, links).join(first, ["a", "b"], "left_anti"), sets))
     if second.isEmpty():
         return own, links
@@ -330,12 +372,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "sig", "component": "_c"})
     top = (1 << 63) - 1
     placed = own.filter("n > 0").select(F.coalesce("doc_id", F.lit(top)).alias("_id"), "sig").join(of, "sig", "left").withColumn("_c", F.coalesce("_c", "sig"))
-    # the ids that go, of all linked and equal rows: far fewer than all ids, so that texts need not move where Spark can broadcast them
     least = placed.groupBy("_c").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
     goes = shared_checkpoint(placed.join(least, "_c").filter("_id != _least").select("_id").distinct())
     again = shared_checkpoint(placed.join(least, "_c").filter("_id = _least").groupBy("_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("_k").alias("_k")).filter("_rows > 1").select("_id"))
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(top)))
-    kept = keyed.join(goes, "_id", "left_anti")
+    kept = anti_join(keyed, goes, ["_id"])
     return _one_of_equal_ids(kept, again).drop("_id")
 
 

@@ -28,12 +28,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import bounded_batches, documents, map_rows, shared_checkpoint
+from loamwork.llm.rowfilter import filter_of, may_be_in
 from loamwork.llm.shingles import mix
 
 LENGTH = 50
@@ -45,8 +47,10 @@ SAMPLE = LENGTH - HEAD  # length of the ranked strings of the cover sample
 PERIOD = 32
 ANCHOR_COLUMN = PERIOD
 COLUMNS = ANCHOR_COLUMN + LENGTH + 6
-FILTER_BITS = 24
-BYTES_A_BUCKET = 24_000_000
+KEY = ["doc_id", "mark"]
+BYTES_A_BUCKET = 12_000_000
+#: Contexts laid out at once.
+CHUNK = 20_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -109,18 +113,8 @@ def anchor_runs(raw: bytes):
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
-    """The lowest 40 bits."""
-    return keys & _U((1 << 40) - 1)
-
-
-def _pack40(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack40(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+    """The lowest 32 bits.  Within a bucket few keys share them, and such a pair only costs a context too many."""
+    return keys.astype(np.uint32)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -131,9 +125,10 @@ def _batches_of(column_names: list[str], out: dict[str, list], schema: pa.Schema
     return pa.RecordBatch.from_pydict({c: out[c] for c in column_names}, schema=schema)
 
 
-_POSTINGS = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("marks", pa.binary()), ("keys", pa.binary()), ("owners", pa.binary()), ("known", pa.bool_())])
+_POSTINGS = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("ids", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("known", pa.bool_())])
+_ANSWERS = pa.schema([("batch", pa.int64()), ("ids", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _TOUCHED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("keys", pa.binary())])
-_CONTEXTS = pa.schema([("bucket", pa.int64()), ("heads", pa.binary()), ("bytes", pa.binary()), ("runs", pa.binary())])
+_CONTEXTS = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("firsts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("runs", pa.binary())])
 _RUNS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("runs", pa.binary())])
 
 
@@ -147,6 +142,7 @@ def _postings(rows: DataFrame, buckets: int) -> DataFrame:
     documents comes once, as known to be shared, and its owners go to a bucket of the batch's choice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
             ids, marks = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("doc_id", "mark"))
             texts = batch.column("text").to_pylist()
@@ -172,8 +168,9 @@ def _postings(rows: DataFrame, buckets: int) -> DataFrame:
             salt = int(mix(np.array([number * 1_000_003 + int(ids[0])], dtype=np.int64).view(np.uint64))[0] % _U(buckets))
 
             def put(b: int, at: np.ndarray, known: bool, with_owner: bool) -> None:
-                used, local = np.unique(owner[at], return_inverse=True) if with_owner else (np.empty(0, np.int64), np.empty(0))
-                values = (b, ids[used].tobytes(), marks[used].tobytes(), _pack40(_short(key[at])), local.astype(np.uint16).tobytes(), known)
+                at = at[np.argsort(owner[at], kind="stable")]
+                used, counts = np.unique(owner[at], return_counts=True) if with_owner else (np.empty(0, np.int64), np.empty(0))
+                values = (b, task << 32 | number, ids[used].tobytes(), marks[used].tobytes(), counts.astype(np.uint32).tobytes(), _short(key[at]).tobytes(), known)
                 for c, v in zip(out, values):
                     out[c].append(v)
 
@@ -194,79 +191,116 @@ def _by_owner(ids: np.ndarray, marks: np.ndarray, keys: np.ndarray) -> pa.Record
     order = np.lexsort((marks, ids))
     ids, marks, keys = ids[order], marks[order], keys[order]
     starts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))) if len(ids) else np.empty(0, np.int64)
-    parts = [_pack40(p) for p in np.split(keys, starts[1:])] if len(ids) else []
+    parts = [p.tobytes() for p in np.split(keys, starts[1:])] if len(ids) else []
     return pa.RecordBatch.from_pydict({"doc_id": ids[starts], "mark": marks[starts], "keys": parts}, schema=_TOUCHED)
 
 
 def _shared_anchors(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document of the bucket its anchor keys that other documents have too."""
-    ids, marks, keys, known = [], [], [], []
+    """To each batch with postings in the bucket, its documents' anchor keys that other documents have too."""
+    answers: dict[str, list] = {c: [] for c in _ANSWERS.names}
+    number, ids, marks, keys, batch_of, known = 0, [], [], [], [], []
     for batch in batches:
-        for i, m, k, o, sure in zip(*(batch.column(c).to_pylist() for c in ("ids", "marks", "keys", "owners", "known"))):
-            owner = np.frombuffer(o, np.uint16)
-            i, m, k = np.frombuffer(i, np.int64), np.frombuffer(m, np.int64), _unpack40(k)
-            if sure and len(owner):
-                yield _by_owner(i[owner], m[owner], k)
-            elif sure:
+        for origin, i, m, n, k, sure in zip(*(batch.column(c).to_pylist() for c in ("batch", "ids", "marks", "counts", "keys", "known"))):
+            if sure and i:
+                for c, v in zip(answers, (origin, i, m, n, k)):
+                    answers[c].append(v)
+                continue
+            k = np.frombuffer(k, np.uint32)
+            if sure:
                 known.append(k)
-            else:
-                ids.append(i[owner])
-                marks.append(m[owner])
-                keys.append(k)
+                continue
+            counts = np.frombuffer(n, np.uint32)
+            ids.append(np.repeat(np.frombuffer(i, np.int64), counts))
+            marks.append(np.repeat(np.frombuffer(m, np.int64), counts))
+            keys.append(k)
+            batch_of.append(origin)
+            number += 1
     if keys:
+        blob = np.repeat(np.arange(number), list(map(len, keys)))
         ids, marks, keys = map(np.concatenate, (ids, marks, keys))
-        sure = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint64)
+        sure = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint32)
         order = np.lexsort((ids, keys))
         k, i = keys[order], ids[order]
-        new = np.concatenate(([True], k[1:] != k[:-1]))
-        group = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        lowest, highest = i[starts], i[np.append(starts[1:], len(i)) - 1]
-        keep = order[(lowest != highest)[group] | np.isin(k, sure, assume_unique=False)]
-        yield _by_owner(ids[keep], marks[keep], keys[keep])
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        several = i[starts] != i[np.append(starts[1:], len(i)) - 1]
+        keep = np.sort(order[np.repeat(several, np.diff(np.append(starts, len(k)))) | np.isin(k, sure)])
+        ids, marks, keys, blob = ids[keep], marks[keep], keys[keep], blob[keep]
+        new = np.ones(len(keep), dtype=bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]) | (blob[1:] != blob[:-1])
+        owners = np.flatnonzero(new)
+        counts = np.diff(np.append(owners, len(keep))).astype(np.uint32)
+        for part in np.split(np.arange(len(owners)), np.flatnonzero(np.diff(blob[owners])) + 1):
+            if len(part):
+                at = owners[part]
+                own = slice(at[0], at[-1] + int(counts[part[-1]]))
+                for c, v in zip(answers, (batch_of[blob[at[0]]], ids[at].tobytes(), marks[at].tobytes(), counts[part].tobytes(), keys[own].tobytes())):
+                    answers[c].append(v)
+    yield _batches_of(_ANSWERS.names, answers, _ANSWERS)
+
+
+def _by_document(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a batch, from the answers of all buckets."""
+    ids, marks, keys = [], [], []
+    for batch in batches:
+        for i, m, n, k in zip(*(batch.column(c).to_pylist() for c in _ANSWERS.names[1:])):
+            counts = np.frombuffer(n, np.uint32)
+            ids.append(np.repeat(np.frombuffer(i, np.int64), counts))
+            marks.append(np.repeat(np.frombuffer(m, np.int64), counts))
+            keys.append(np.frombuffer(k, np.uint32))
+    ids, marks, keys = map(np.concatenate, (ids, marks, keys))
+    order = np.lexsort((marks, ids))
+    ids, marks, keys = ids[order], marks[order], keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))) if len(ids) else np.empty(0, np.int64)
+    parts = [p.tobytes() for p in np.split(keys, starts[1:])] if len(ids) else []
+    yield pa.RecordBatch.from_pydict({"doc_id": ids[starts], "mark": marks[starts], "keys": parts}, schema=_TOUCHED)
 
 
 def _contexts(rows: DataFrame, buckets: int) -> DataFrame:
-    """Contexts of shared anchors by bucket.  heads: doc_id, mark, first start, starts, anchor's place, key, one row each;
-    runs: doc_id, mark, first start, starts already known to go."""
+    """Contexts of shared anchors by bucket: for each document its doc_id, mark and number of contexts, for each context
+    its first start, number of starts and anchor's place, and all bytes compressed; or runs: doc_id, mark, first start
+    and number of starts already known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for number, batch in enumerate(batches):
             ids, marks = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("doc_id", "mark"))
             heads, cuts = [], []
-            for k, (text, shared) in enumerate(zip(batch.column("text").to_pylist(), batch.column("keys").to_pylist())):
-                if shared is None:
-                    continue
-                raw = text.encode()
+            for k, (z, shared) in enumerate(zip(batch.column("z").to_pylist(), batch.column("keys").to_pylist())):
+                raw = unpack.decompress(z)
                 first, last, at, key = anchor_runs(raw)
-                hit = np.isin(_short(key), _unpack40(b"".join(shared)))
+                hit = np.isin(_short(key), np.frombuffer(b"".join(shared), np.uint32))
                 first, last, at, key = first[hit], last[hit], at[hit], key[hit]
-                heads.append(np.stack([np.full(len(first), ids[k]), np.full(len(first), marks[k]), first, last - first + 1, at - first, key.view(np.int64)], axis=1))
+                heads.append(np.stack([np.full(len(first), k), first, last - first + 1, at - first, key.view(np.int64)], axis=1))
                 cuts += [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
             if not cuts:
                 continue
             head = np.concatenate(heads)
             # of contexts that agree in all bytes, those of the smallest document go on; the others' starts go
+            own = ids[head[:, 0]].tolist()
             least: dict[tuple[int, bytes], int] = {}
-            names = list(zip(head[:, 4].tolist(), cuts))
-            for doc_id, name in zip(head[:, 0].tolist(), names):
+            names = list(zip(head[:, 3].tolist(), cuts))
+            for doc_id, name in zip(own, names):
                 if least.get(name, doc_id) >= doc_id:
                     least[name] = doc_id
-            goes = np.array([least[name] < doc_id for doc_id, name in zip(head[:, 0].tolist(), names)])
+            goes = np.array([least[name] < doc_id for doc_id, name in zip(own, names)])
             out: dict[str, list] = {c: [] for c in _CONTEXTS.names}
             kept = np.flatnonzero(~goes)
-            bucket = _bucket(head[:, 5].view(np.uint64), buckets)
+            bucket = _bucket(head[:, 4].view(np.uint64), buckets)
             kept = kept[np.argsort(bucket[kept], kind="stable")]
             for part in np.split(kept, np.flatnonzero(np.diff(bucket[kept])) + 1):
-                for c, v in zip(out, (int(bucket[part[0]]), head[part].tobytes(), b"".join(cuts[p] for p in part), None)):
+                used, counts = np.unique(head[part, 0], return_counts=True)
+                sizes = np.stack([head[part, 2], head[part, 3]]).astype(np.uint8)
+                values = (int(bucket[part[0]]), ids[used].tobytes(), marks[used].tobytes(), counts.astype(np.uint32).tobytes(), head[part, 1].astype(np.uint32).tobytes(), sizes.tobytes(), pack.compress(b"".join(cuts[p] for p in part)), None)
+                for c, v in zip(out, values):
                     out[c].append(v)
             if goes.any():
                 salt = int(mix(np.array([number * 1_000_003 + int(ids[0])], dtype=np.int64).view(np.uint64))[0] % _U(buckets))
-                for c, v in zip(out, (salt, None, None, np.ascontiguousarray(head[goes][:, :4]).tobytes())):
+                runs = np.stack([ids[head[goes, 0]], marks[head[goes, 0]], head[goes, 1], head[goes, 2]], axis=1)
+                for c, v in zip(out, (salt, *[None] * 6, pack.compress(runs.tobytes()))):
                     out[c].append(v)
             yield _batches_of(_CONTEXTS.names, out, _CONTEXTS)
 
-    return rows.select("doc_id", "mark", "text", "keys").mapInArrow(run, _ddl(_CONTEXTS))
+    return rows.select("doc_id", "mark", "z", "keys").mapInArrow(run, _ddl(_CONTEXTS))
 
 
 def _word(m: np.ndarray, column: int) -> np.ndarray:
@@ -290,12 +324,16 @@ def repeated_starts(head: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarr
     """(context, start within it) of the suffixes whose 50 bytes a smaller document of the bucket has as well."""
     n = len(head)
     lengths = head[:, 3] + LENGTH - 1
+    ends = np.cumsum(lengths)
     m = np.zeros((n, COLUMNS), dtype=np.uint8)
     begin = ANCHOR_COLUMN - head[:, 4]  # the column of a context's first byte
-    row = np.repeat(np.arange(n), lengths)
-    inside = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    m[row, begin[row] + inside] = np.frombuffer(data, np.uint8)
-    anchor = _ranks([head[:, 5].view(np.uint64)])
+    for k in range(0, n, CHUNK):
+        own = slice(k, k + CHUNK)
+        row = np.repeat(np.arange(k, min(n, k + CHUNK)), lengths[own])
+        low, high = int(ends[k] - lengths[k]), int(ends[own][-1])
+        inside = np.arange(low, high) - np.repeat(ends[own] - lengths[own], lengths[own])
+        m[row, begin[row] + inside] = np.frombuffer(data, np.uint8, high - low, low)
+    anchor = _ranks([_word(m, ANCHOR_COLUMN), _word(m, ANCHOR_COLUMN + 8), _word(m, ANCHOR_COLUMN + GRAM - 8)])
     ranks: dict[int, np.ndarray] = {}
 
     def cover_rank(column: int) -> np.ndarray:
@@ -346,55 +384,39 @@ def _as_runs(docs: np.ndarray, marks: np.ndarray, starts: np.ndarray, counts: np
 
 
 def _sorted_bucket(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     heads, data = [], []
     for batch in batches:
-        for h, d, r in zip(*(batch.column(c).to_pylist() for c in ("heads", "bytes", "runs"))):
+        for i, m, n, f, w, d, r in zip(*(batch.column(c).to_pylist() for c in _CONTEXTS.names[1:])):
             if r is not None:
-                run = np.frombuffer(r, np.int64).reshape(-1, 4)
-                yield _as_runs(*run.T)
-            else:
-                heads.append(np.frombuffer(h, np.int64).reshape(-1, 6))
-                data.append(d)
+                yield _as_runs(*np.frombuffer(unpack.decompress(r), np.int64).reshape(-1, 4).T)
+                continue
+            counts = np.frombuffer(n, np.uint32)
+            starts, places = np.frombuffer(w, np.uint8).reshape(2, -1).astype(np.int64)
+            heads.append(np.stack([np.repeat(np.frombuffer(i, np.int64), counts), np.repeat(np.frombuffer(m, np.int64), counts), np.frombuffer(f, np.uint32).astype(np.int64), starts, places], axis=1))
+            data.append(unpack.decompress(d))
     if heads:
         head = np.concatenate(heads)
         row, start = repeated_starts(head, b"".join(data))
         yield _as_runs(head[row, 0], head[row, 1], head[row, 2] + start, np.ones(len(row), dtype=np.int64))
 
 
-def _filter_of(rows: DataFrame) -> np.ndarray:
-    """A bit for each hash of the rows' doc_id and mark: 2 ** FILTER_BITS bits, whatever the rows.  No false negatives."""
-    block = 1 << 15
-    place = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(1 << FILTER_BITS))
-
-    def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(block, dtype=np.uint8)
-        for b in batches:
-            bits[b.column("at").to_numpy()] = 1
-        yield pa.RecordBatch.from_pydict({"block": [key[0].as_py()], "bits": [np.packbits(bits).tobytes()]}, schema=pa.schema([("block", pa.int64()), ("bits", pa.binary())]))
-
-    parts = rows.select(F.floor(place / block).alias("block"), F.pmod(place, F.lit(block)).alias("at")).distinct().groupBy("block").applyInArrow(gather, "block long, bits binary").collect()
-    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for r in parts:
-        out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _may_be_in(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """rows with _in: false only for rows that are surely not in the filter."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+def _squeezed(rows: DataFrame) -> DataFrame:
+    """doc_id, mark and z, the text's bytes compressed: what moves in an exchange."""
 
-    @F.pandas_udf("boolean")
-    def has(at: pd.Series) -> pd.Series:
-        a = at.to_numpy()
-        return pd.Series((shared.value[a >> 3] >> (7 - (a & 7)) & 1).astype(bool))
+    def squeeze(ids: list[int], marks: list[int], texts: list[str]) -> dict:
+        tool = zstandard.ZstdCompressor(level=3)
+        return {"doc_id": ids, "mark": marks, "z": [tool.compress(t.encode()) for t in texts]}
 
-    return rows.withColumn("_in", has(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(1 << FILTER_BITS))))
+    return map_rows(rows, ["doc_id", "mark", "text"], squeeze, "doc_id long, mark long, z binary")
 
 
-def _result(doc_ids: list, texts: list[str], copies: list, runs: list) -> dict:
+def _result(doc_ids: list, texts: list, copies: list, runs: list) -> dict:
+    """texts: the text itself, or its bytes compressed."""
+    unpack = zstandard.ZstdDecompressor()
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
     for doc_id, text, copy, mine in zip(doc_ids, texts, copies, runs):
-        raw = text.encode()
+        raw = text.encode() if isinstance(text, str) else unpack.decompress(text)
         kept, removed, spans = raw, 0, 0
         if copy and len(raw) >= LENGTH:
             kept, removed, spans = b"", len(raw), 1
@@ -430,22 +452,21 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     whole = rows.select("doc_id", "mark", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_sha"))
     least = whole.groupBy("_sha").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).filter("_least < _most")
     copies = shared_checkpoint(whole.join(least, "_sha").filter("doc_id > _least").select("doc_id", "mark").distinct())
-    found = _postings(rows, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_TOUCHED))
-    touched = found.join(copies, ["doc_id", "mark"], "left_anti").groupBy("doc_id", "mark").agg(F.collect_list("keys").alias("keys"))
-    touched = shared_checkpoint(touched)
-    open_rows = _may_be_in(rows, _filter_of(touched)).filter("_in")
-    contexts = _contexts(open_rows.join(touched, ["doc_id", "mark"]), buckets)
+    answers = _postings(rows, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_ANSWERS))
+    found = answers.groupBy("batch").applyInArrow(_by_document, _ddl(_TOUCHED))
+    touched = shared_checkpoint(found.groupBy(*KEY).agg(F.collect_list("keys").alias("keys")).join(copies, KEY, "left_anti"))
+    open_rows = may_be_in(rows, KEY, filter_of(touched, KEY)).filter("_in").drop("_in")
+    contexts = _contexts(_squeezed(open_rows).join(touched, KEY), buckets)
     runs = contexts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, _ddl(_RUNS))
     runs = shared_checkpoint(runs.groupBy("doc_id", "mark").agg(F.collect_list("runs").alias("runs")))
     marked = runs.select("doc_id", "mark", "runs", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "mark", F.lit(None).cast("array<binary>").alias("runs"), F.lit(True).alias("copy")))
-    split = _may_be_in(every, _filter_of(marked))
-    columns = ["doc_id", "text", "copy", "runs"]
+    split = may_be_in(every, KEY, filter_of(marked, KEY))
     plain = split.filter("not _in").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("runs"))
-    joined = split.filter("_in").join(marked, ["doc_id", "mark"], "left").select(*columns)
+    joined = _squeezed(split.filter("_in")).join(marked, KEY, "left")
     drop = (lambda d: d) if keep_bytes else (lambda d: {k: v for k, v in d.items() if k != "kept"})
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    cut = lambda d: map_rows(d, columns, lambda *a: drop(_result(*a)), schema)
-    return cut(plain).union(cut(joined))
+    cut = lambda d, text: map_rows(d, ["doc_id", text, "copy", "runs"], lambda *a: drop(_result(*a)), schema)
+    return cut(plain, "text").union(cut(joined, "z"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

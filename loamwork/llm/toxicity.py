@@ -171,7 +171,7 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds:
             p = model.posterior(votes)
             mass = np.stack([(1 - p) * counts, p * counts])
             means = np.stack([mass[y] @ fires / max(mass[y].sum(), 1e-9) for y in (0, 1)])
-            cov = sum((fires - means[y]).T @ ((fires - means[y]) * mass[y][:, None]) for y in (0, 1)) / counts.sum()
+            cov = sum((fires - means[y]).T @ ((fires - means[y]) * mass[y][:, None]) for y in (0, 1)) / max(counts.sum(), 1e-9)
             spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             correlation = np.clip(cov / spread[:, None] / spread[None, :], 0, 1)
             np.fill_diagonal(correlation, 0)

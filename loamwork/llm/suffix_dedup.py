@@ -447,7 +447,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
     rows = every.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, math.ceil(size / BYTES_A_BUCKET))
+    buckets = max(64, math.ceil(size / BYTES_A_BUCKET))
     # whole copies of a smaller document
     whole = rows.select("doc_id", "mark", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_sha"))
     least = whole.groupBy("_sha").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).filter("_least < _most")

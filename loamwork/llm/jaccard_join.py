@@ -49,9 +49,9 @@ SKETCH = 22
 SKETCH_BLOCKS = 64
 PARITY_WORDS = 16
 LARGEST_BOUNDARY = 10
-SMALL_LIST = 48
+SMALL_LIST = 16
 #: Sets of a longer list that each of its sets is compared with first.
-LEADERS = 16
+LEADERS = 8
 HOT = 200_000
 #: Sub-buckets of a hot element.
 SALTS = 64
@@ -331,7 +331,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = {r["s"]: (r["k"], r["e"]) for r in sets.groupBy(F.least("n", F.lit(2 * LARGEST_BOUNDARY)).alias("s")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1).alias("e")).collect()}
     levels, hot = _levels(summaries)
     boundary = choose_boundary({s: k for s, (k, _) in sizes.items()})
-    buckets = max(16, math.ceil(sum(e for _, e in sizes.values()) / ENTRIES_A_BUCKET))
+    buckets = max(64, math.ceil(sum(e for _, e in sizes.values()) / ENTRIES_A_BUCKET))
     lists = _lists(rows, levels, hot, boundary, buckets)
     found = shared_checkpoint(lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_pairs(SMALL_LIST), _PAIR_SCHEMA))
     # the least sets of one element's buckets meet here

@@ -4,7 +4,8 @@ Positions come from splitting the text at a pattern: the pieces lie between the
 lengths give each match's start in code points.  A text without a match is never split.
 
 The battery looks at tokens of at least ``MIN_TOKEN`` characters that mix digits and letters, outside known
-secrets.  Each is read in the smallest encoding whose alphabet holds it, and tested against the null hypothesis
+secrets.  A token with signs of both base-64 alphabets is cut at those of the one and, again, at those of the
+other, and every part is a token of its own.  Each is read in the smallest encoding whose alphabet holds it, and tested against the null hypothesis
 that its characters are drawn evenly and independently from that alphabet: chi-squared uniformity of the
 alphabet (Wilson and Hilferty's normal form), runs above and below the middle, and serial correlation.  A token's
 p-value is three times the least of the three (Bonferroni), at most 1.
@@ -30,7 +31,10 @@ ASSIGN_JAVA = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20
 ACCESS_JAVA = r"AKIA[A-Z0-9]{16,}"
 HEX_JAVA = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "random"]
-TOKEN_JAVA = r"[A-Za-z0-9+/_=-]{24,}"
+#: '=' is padding at a token's end and separates elsewhere.
+TOKEN_JAVA = r"[A-Za-z0-9+/_-]{24,}(?:=++(?![A-Za-z0-9+/_-]))?"
+#: Parts of a token that no one alphabet holds: in each base-64 alphabet, what only the other one has separates.
+PARTS_JAVA = [r"[A-Za-z0-9+/]{24,}=*", r"[A-Za-z0-9_-]{24,}=*"]
 MIN_TOKEN = 24
 #: Least lengths of the classes of length.
 CLASSES = [24, 32, 48, 64]
@@ -143,7 +147,13 @@ def tested_tokens(text: Column, known: Column) -> Column:
 
 def candidate_tokens(text: Column, known: Column) -> Column:
     """Tokens for the battery: long, with a digit and a letter, one encoding, and clear of the known secrets."""
-    tokens = spans_of(text, TOKEN_JAVA, 3)
+
+    def parts(s: Column) -> Column:
+        moved = lambda x: F.struct(x["kind"].alias("kind"), (s["start"] + x["start"]).alias("start"), (s["start"] + x["end"]).alias("end"), x["value"].alias("value"))
+        return F.array_distinct(F.concat(*(F.transform(spans_of(s["value"], pattern, 3), moved) for pattern in PARTS_JAVA)))
+
+    both = lambda s: s["value"].rlike("[+/]") & s["value"].rlike("[_-]")
+    tokens = F.flatten(F.transform(spans_of(text, TOKEN_JAVA, 3), lambda s: F.when(both(s), parts(s)).otherwise(F.array(s))))
     mixed = F.filter(tokens, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     return F.filter(mixed, lambda s: ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
 
@@ -171,9 +181,12 @@ def ordinary_cells(scan: DataFrame, fdr: float = FDR) -> list[int]:
 
 
 def random_spans(tokens: Column, cells: list[int]) -> Column:
-    """The tokens not called ordinary."""
+    """The tokens not called ordinary, without parts that lie in another one."""
     least = F.array(*map(F.lit, cells))
-    return F.transform(F.filter(tokens, lambda t: t["cell"] < F.get(least, t["group"])), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    keys = F.filter(tokens, lambda t: t["cell"] < F.get(least, t["group"]))
+    within = lambda t, o: (o["start"] <= t["start"]) & (t["end"] <= o["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])
+    outer = F.filter(keys, lambda t: ~F.exists(keys, lambda o: within(t, o)))
+    return F.transform(outer, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
 
 
 def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:

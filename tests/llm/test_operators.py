@@ -279,6 +279,24 @@ def test_random_tokens(spark):
     assert found >= 36 and sum(bool(spans[k]) for k, _ in plain) <= 3
 
 
+def test_glued_tokens(spark):
+    rng = np.random.default_rng(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda extra: "".join(rng.choice(list(letters + extra), 40))
+    before = {"AWS_SECRET_ACCESS_KEY=": "+/", "sig=": "+/", "auth=": "", "id_x/": "", "a/b_": "-_", "user-1/": "+/", "x=y=": "-_"}
+    rows = [(i, f"see {glue}{key}{pad} end", glue, key) for i, (glue, key, pad) in enumerate((g, draw(extra), "=" * (k % 3) if extra == "+/" else "") for k in range(12) for g, extra in before.items())]
+    plain = [(1000 + k, f"see my_long_file/name_version_{k}_final/copy_of=file and 2024-01-01/2024-01-01_2024 ok", "", "") for k in range(60)]
+    frame = spark.createDataFrame([r[:2] for r in rows + plain], "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3] for r in secrets.find_secrets(frame).collect()}
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    for glue in before:
+        own = [r for r in rows if r[2] == glue]
+        assert sum(any(a <= r[1].index(r[3]) and r[1].index(r[3]) + 40 <= b for a, b in spans[r[0]]) for r in own) >= 10, glue
+        assert sum("[SECRET] end" in text[r[0]] and r[3][-24:] not in text[r[0]] for r in own) >= 10, glue
+    assert sum(bool(spans[i]) for i, *_ in plain) <= 3
+    assert all(sum(a <= c and d <= b for c, d in found) == 1 for found in spans.values() for a, b in found)
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(i, t, len(t or "")) for i, t in SECRETS], "doc_id long, text string, n_chars int")
     out = {r["doc_id"]: r for r in secrets.redact(frame).collect()}

@@ -35,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -68,10 +67,19 @@ def _parity(s: np.ndarray) -> list[int]:
     return np.packbits(odd).view(np.int64).tolist()
 
 
+#: A null doc_id counts above all.
+TOP = (1 << 63) - 1
+
+
+def _row_key() -> list[Column]:
+    """A row's id and its text's hash, by which rows of equal or null ids differ unless their texts are equal."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_hash")]
+
+
 def _summaries(rows: DataFrame) -> DataFrame:
-    """For each row doc_id, n, sig and parity; for each task the blocks of its sketch (block, counts)."""
+    """For each row doc_id, its text's hash, n, sig and parity; for each task the blocks of its sketch (block, counts)."""
     bounded_batches(rows.sparkSession)
-    schema = "doc_id long, n long, sig long, parity array<long>, block int, counts binary"
+    schema = "doc_id long, _hash long, n long, sig long, parity array<long>, block int, counts binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,13 +94,13 @@ def _summaries(rows: DataFrame) -> DataFrame:
             sketch += np.bincount((np.concatenate(list(fresh.values())) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
             used = True
             none = [None] * len(sets)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "sig": sigs, "parity": [_parity(s) for s in sets], "block": none, "counts": none}, schema=arrow)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "_hash": batch.column("_hash"), "n": [len(s) for s in sets], "sig": sigs, "parity": [_parity(s) for s in sets], "block": none, "counts": none}, schema=arrow)
         if used:
             none = [None] * SKETCH_BLOCKS
             counts = [zlib.compress(part.tobytes(), 1) for part in np.split(sketch, SKETCH_BLOCKS)]
-            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "sig": none, "parity": none, "block": range(SKETCH_BLOCKS), "counts": counts}, schema=arrow)
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "_hash": none, "n": none, "sig": none, "parity": none, "block": range(SKETCH_BLOCKS), "counts": counts}, schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.select("doc_id", "text", _row_key()[1]).mapInArrow(run, schema)
 
 
 def _levels(summaries: DataFrame) -> tuple[np.ndarray, int]:
@@ -322,11 +330,11 @@ def _cross_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): sets has doc_id, n and sig of each row, equal sets sharing a sig; links has pairs of sigs that
+    """(sets, links): sets has doc_id, text hash, n and sig of each row, equal sets sharing a sig; links has pairs of sigs that
     reach the threshold, enough to join every component, both checkpointed."""
     rows = id_text(docs)
     summaries = shared_checkpoint(_summaries(rows))
-    own = summaries.filter("block is null").select("doc_id", "n", "sig", "parity")
+    own = summaries.filter("block is null").select("doc_id", "_hash", "n", "sig", "parity")
     sets = own.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     sizes = {r["s"]: (r["k"], r["e"]) for r in sets.groupBy(F.least("n", F.lit(2 * LARGEST_BOUNDARY)).alias("s")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1).alias("e")).collect()}
     levels, hot = _levels(summaries)
@@ -366,28 +374,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of linked rows: the least doc_id's (null counts above all), one of equals.
 
-    Rows without words, null or empty, all stay.  All columns are kept.
+    Other rows that repeat a doc_id, or have none, are judged by their own texts.  Rows without words, null or empty, all stay.  All columns are kept.
     """
     own, links = jaccard_links(docs)
     of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "sig", "component": "_c"})
-    top = (1 << 63) - 1
-    placed = own.filter("n > 0").select(F.coalesce("doc_id", F.lit(top)).alias("_id"), "sig").join(of, "sig", "left").withColumn("_c", F.coalesce("_c", "sig"))
-    least = placed.groupBy("_c").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-    goes = shared_checkpoint(placed.join(least, "_c").filter("_id != _least").select("_id").distinct())
-    again = shared_checkpoint(placed.join(least, "_c").filter("_id = _least").groupBy("_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("_k").alias("_k")).filter("_rows > 1").select("_id"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(top)))
-    kept = anti_join(keyed, goes, ["_id"])
-    return _one_of_equal_ids(kept, again).drop("_id")
-
-
-def _one_of_equal_ids(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """rows with one row, the least, of each id in repeated; most inputs have no such id."""
+    placed = own.filter("n > 0").select(F.coalesce("doc_id", F.lit(TOP)).alias("_id"), "_hash", "sig").join(of, "sig", "left").withColumn("_c", F.coalesce("_c", "sig"))
+    rows = placed.groupBy("_c", "_id", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    least = rows.groupBy("_c").agg(F.min(F.struct("_id", "_hash")).alias("_least"), F.sum("_rows").alias("_k")).filter("_k > 1")
+    grouped = shared_checkpoint(rows.join(least, "_c").select("_id", "_hash", "_rows", (F.struct("_id", "_hash") == F.col("_least")).alias("_stays")))
+    keyed = docs.select("*", *_row_key())
+    kept = anti_join(keyed, grouped.filter("not _stays").select("_id", "_hash"), ["_id", "_hash"])
+    return _one_of_equal_rows(kept, grouped.filter("_stays and _rows > 1").select("_id", "_hash")).drop("_id", "_hash")
+
+
+def _one_of_equal_rows(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows with one row, the least, of each id and text in repeated; most inputs have none."""
     if repeated.isEmpty():
         return rows
-    several = rows.join(repeated, "_id", "left_semi")
-    w = W.partitionBy("_id").orderBy("text", *[c for c in rows.columns if c not in ("_id", "text")])
-    one = several.filter(F.length(F.trim("text")) > 0).withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
-    return rows.join(repeated, "_id", "left_anti").unionByName(one).unionByName(several.filter(F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0))
+    key = ["_id", "_hash"]
+    columns = [c for c in rows.columns if c not in key]
+    one = rows.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*", *key)
+    return rows.join(repeated, key, "left_anti").unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

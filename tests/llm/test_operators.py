@@ -365,6 +365,20 @@ def test_drop_near_duplicates(spark):
     assert [i for i in components_kept if i != 3] == sorted(i for i in want if i != 3)
 
 
+def test_drop_near_duplicates_by_row(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    rows = [
+        (1, near), (None, near), (None, "clean text that no other row has"), (None, "another clean text without an id"), (None, ""), (None, None),
+        (2, near + " v"), (2, "unique text of the repeated id"), (3, "x y z one two three"), (3, "x y z one two three"), (3, "also of id three but unique"),
+        (None, "twice without any id at all"), (None, "twice without any id at all"), (4, "of one id k l m n o p q r s t u v w x y z"), (4, "of one id k l m n o p q r s t u v w x y z a"),
+    ]
+    kept = [tuple(r) for r in jaccard_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    of_four = [r for r in kept if r[0] == 4]
+    assert len(of_four) == 1 and of_four[0] in rows
+    want = [rows[0], *rows[2:6], rows[7], rows[8], rows[10], rows[11]]
+    assert sorted((r for r in kept if r[0] != 4), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 80, (50, 2))] + [(k, k + 1) for k in range(100, 140)]

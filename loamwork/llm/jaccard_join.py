@@ -286,9 +286,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     One text of each set in question is read again and travels compressed, which is less than its hashes; a pair
     carries b's text to a's, and the sets are compared there.
     """
-    wanted = shared_checkpoint(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", F.col("rep").alias("doc_id")), "sig"))
-    # the text must be the one with this set: a doc_id may have several rows
-    texts = semi_join(rows, wanted, ["doc_id"])
+    wanted = shared_checkpoint(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", "rep._id", "rep._hash"), "sig"))
+    # the text must be the one with this set: a doc_id may have several rows, and many rows may have none
+    texts = semi_join(rows.select("text", *_row_key()), wanted, ["_id", "_hash"])
 
     def squeeze(sigs: list[int], texts: list[str]) -> dict:
         tool = zstandard.ZstdCompressor(level=3)
@@ -335,7 +335,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = id_text(docs)
     summaries = shared_checkpoint(_summaries(rows))
     own = summaries.filter("block is null").select("doc_id", "_hash", "n", "sig", "parity")
-    sets = own.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    sets = own.filter("n > 0").groupBy("sig").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(TOP)).alias("_id"), "_hash")).alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     sizes = {r["s"]: (r["k"], r["e"]) for r in sets.groupBy(F.least("n", F.lit(2 * LARGEST_BOUNDARY)).alias("s")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1).alias("e")).collect()}
     levels, hot = _levels(summaries)
     boundary = choose_boundary({s: k for s, (k, _) in sizes.items()})

@@ -351,6 +351,19 @@ def test_jaccard_join(spark, monkeypatch, small, hot, boundary):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == linked(rows)
 
 
+@pytest.mark.parametrize("small", [48, 2])
+def test_jaccard_join_of_null_ids(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard_join, "SMALL_LIST", small)
+    w = [f"w{k}" for k in range(40)]
+    bridge = [(10, " ".join(w)), (None, " ".join(w[3:] + ["a", "b", "c"])), (11, " ".join(w[6:] + ["a", "b", "c", "d", "e", "f"]))]
+    assert linked(bridge) != linked([bridge[0], bridge[2]]) and {c for _, _, c in linked(bridge)} == {10} and len({c for _, _, c in linked([bridge[0], bridge[2]])}) == 2
+    rows = bridge + [(None, t) for _, t in near_copies(24, 3)] + [(None, t) for _, t in near_copies(8, 3)] + [(None, ""), (20, near_copies(24, 3)[0][1])]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == linked(rows)
+    kept = jaccard_join.drop_near_duplicates(spark.createDataFrame(bridge + [(None, bridge[0][1] + " z")], "doc_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [bridge[0]]
+
+
 def test_jaccard_join_on_the_table(docs, texts, odd):
     got = jaccard_join.jaccard_components(docs).collect()
     assert sorted((tuple(r) for r in got), key=str) == linked(list(texts.items()))

@@ -8,7 +8,7 @@ return the columns of documents.
    documents without words stay.
 3. secrets: every secret found is replaced by a marker; no document goes.
 4. mixing: documents are repeated by Poisson draws towards the target shares of sources and shuffled.
-5. packing: power-of-two pieces.
+5. packing: power-of-two pieces with their token ids.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, keep_ids=False)
+    return packing.pack_documents(docs)
 
 
 STAGES = [

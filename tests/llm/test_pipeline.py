@@ -40,6 +40,13 @@ def test_stages(spark, tmp_path):
     assert set(lengths) == {r["doc_id"] for r in kept["mixing"]}
 
 
+def test_packed_ids(spark):
+    docs = spark.createDataFrame([(1, "some words to pack", "en", "s", 18), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r["doc_id"] for r in rows} == {1, 2}
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None

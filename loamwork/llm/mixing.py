@@ -24,8 +24,9 @@ WEIGHTS = {"src0": 0.10, "src1": 0.15, "src2": 0.10, "src3": 0.05}
 #: The share of all other sources together, null included.
 REST = 0.60
 SEED = "mix-1"
-#: Means above this are refused: the table of the distribution function would be long.
-MAX_RATE = 10_000.0
+#: A greater mean is split evenly over several draws, whose sum has the same Poisson distribution: a table of the
+#: distribution function stays short, and the work grows with the copies made.
+MAX_RATE = 1_000.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -35,8 +36,6 @@ def uniform(*parts: Column) -> Column:
 
 def poisson_steps(rate: float) -> list[float]:
     """The distribution function at 0, 1, 2, ... until it is 1 in double precision."""
-    if not 0 <= rate <= MAX_RATE:
-        raise ValueError(f"a mean repetition rate must lie between 0 and {MAX_RATE:g}, not {rate}")
     if rate == 0:
         return []
     steps, total, k = [], 0.0, 0
@@ -69,23 +68,40 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rest: fl
 
     total is the expected number of rows of the mix (default: as many as docs has).  Rows that repeat a doc_id draw
     the same number; a null doc_id draws as the text "null"; a null source belongs to the rest; texts are carried
-    as they are, null or empty.  An empty table gives no rows.  A column of docs named copy is replaced.
+    as they are, null or empty.  An empty table gives no rows.  A column of docs named copy is replaced.  No rate is refused.
     """
     weights = WEIGHTS if weights is None else weights
     rates = target_rates(docs, weights, rest, total)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = uniform(F.lit(seed), key)
-    none = F.array().cast("array<double>")
-    steps = none
-    for source, rate in rates.items():
-        table = F.array(*map(F.lit, poisson_steps(rate))) if rate else none
-        steps = table if source is None and len(rates) == 1 else F.when(F.col("source") == source, table).otherwise(steps) if source is not None else steps
-    if None in rates and len(rates) > 1:
-        named = F.coalesce(F.col("source").isin([s for s in rates if s is not None]), F.lit(False))
-        steps = F.when(named, steps).otherwise(F.array(*map(F.lit, poisson_steps(rates[None]))) if rates[None] else none)
-    times = F.size(F.filter(steps, lambda step: u >= step))
-    copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
-    out = docs.drop("copy").withColumn("copy", F.explode(copies)).withColumn("copy", F.col("copy").cast("long"))
+    named = F.coalesce(F.col("source").isin([s for s in rates if s is not None]), F.lit(False))
+
+    draws = {source: max(1, math.ceil(rate / MAX_RATE)) for source, rate in rates.items()}
+
+    def by_source(value) -> Column:
+        """value(source) of each row's source; the rest's for any that is not named."""
+        out = value(None)
+        for source in rates:
+            out = out if source is None else F.when(named & (F.col("source") == source), value(source)).otherwise(out)
+        return out
+
+    # one foldable literal a source: thousands of literal nodes would slow the planner
+    def table(source: str | None) -> Column:
+        steps = poisson_steps(rates.get(source, 0.0) / draws.get(source, 1))
+        return F.split(F.lit(",".join(map(repr, steps))), ",").cast("array<double>") if steps else F.array().cast("array<double>")
+
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  value is computed once
+
+    def times(steps: Column) -> Column:
+        drawn = lambda u: bind(u, lambda v: F.size(F.filter(steps, lambda step: v >= step)))
+        first = drawn(uniform(F.lit(seed), key))
+        if max(draws.values(), default=1) == 1:
+            return first
+        more = F.slice(F.sequence(F.lit(1), by_source(lambda source: F.lit(draws.get(source, 1)))), F.lit(2), F.lit(1 << 30))
+        return F.aggregate(more, first, lambda total, k: total + drawn(uniform(F.lit(seed), F.lit("draw"), k.cast("string"), key)))
+
+    spare = "_" * (1 + max(map(len, docs.columns)))  # no column of docs
+    counted = docs.drop("copy").select("*", F.posexplode(F.array_repeat(F.lit(True), bind(by_source(table), times))).alias("copy", spare))
+    out = counted.drop(spare).withColumn("copy", F.col("copy").cast("long") + 1)
     place = F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), key, F.col("copy")).cast("binary"))
     return out.repartition(place).sortWithinPartitions(place)
 

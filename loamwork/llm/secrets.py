@@ -39,6 +39,8 @@ MIN_TOKEN = 24
 #: Least lengths of the classes of length.
 CLASSES = [24, 32, 48, 64]
 CELLS = 1000
+#: Spans that are gathered, or replaced, one after the other; texts with more do so block by block.
+BLOCK = 64
 FDR = 0.05
 #: Encodings: a name, the pattern of a whole token without its padding, and its alphabet.
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,8 +71,24 @@ def spans_of(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start(acc, x).alias("start"), (start(acc, x) + x["n"]).alias("end"), x["value"].alias("value"))
         return F.struct((start(acc, x) + x["n"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.aggregate(parts, zero, step, lambda acc: acc["spans"])).otherwise(empty)
+    def gathered(parts: Column) -> Column:
+        # an array grows by copying, so it grows within a block only; a block starts where the lengths before it end
+        blocks = in_blocks(parts)
+        return _bind(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + x["n"])), lambda lengths: F.flatten(F.transform(
+            blocks, lambda b, k: F.aggregate(b, F.struct(F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(0).cast("long"), lambda n, x: n + x).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+        )))
+
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), _bind(parts, gathered)).otherwise(empty)
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_blocks(values: Column) -> Column:
+    """An array in arrays of at most BLOCK elements."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
 
 
 def known_spans(text: Column) -> Column:
@@ -206,20 +224,33 @@ def redact(docs: DataFrame, marker: str = "[SECRET]", fdr: float = FDR) -> DataF
     """
     scan = scanned(docs, [])
     cells = ordinary_cells(scan, fdr)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    known = known_spans(text)
-    found = docs.withColumn("_known", known)
-    found = found.withColumn("_spans", F.sort_array(F.concat("_known", random_spans(tested_tokens(text, F.col("_known")), cells))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))  # docs as one column, so that no name of its own can clash
+    found = docs.select(F.struct(*docs.columns).alias("row")).withColumn("known", known_spans(text))
+    found = found.withColumn("tokens", tested_tokens(text, F.col("known")))
+    found = found.select("row", F.sort_array(F.concat("known", random_spans(F.col("tokens"), cells))).alias("spans"))
+
+    def cut(spans: Column) -> Column:
+        """The text in pieces: for each block of spans what stands from the end of those before it to its own, and the rest."""
+        ends = lambda upto: F.coalesce(F.array_max(F.transform(upto, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))), F.lit(0).cast("long"))
+
+        def piece(blocks: Column):
+            def of(b: Column, k: Column) -> Column:
+                zero = F.struct(ends(F.slice(blocks, F.lit(1), k)).alias("at"), F.lit("").alias("out"))
+                return F.aggregate(b, zero, step, lambda acc: acc["out"])
+
+            return F.concat(F.array_join(F.transform(blocks, of), ""), F.substring(text, (ends(blocks) + 1).cast("int"), F.length(text)))
+
+        return _bind(in_blocks(spans), piece)
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         fresh = (s["start"] >= acc["at"]) & (s["end"] > acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(marker))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(F.col("_spans"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).drop("_known", "_spans")
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = found.select("row.*", F.when(F.size("spans") > 0, cut(F.col("spans"))).otherwise(F.col("row.text")).alias("_" * (1 + max(map(len, docs.columns)))))
+    clean = F.col(out.columns[-1])
+    n_chars = F.when(clean.isNotNull(), F.length(clean).cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out.select(*[clean.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def listed(spans: Column) -> Column:

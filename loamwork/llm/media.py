@@ -11,10 +11,10 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import webp
+from loamwork.llm import webp, webp_writer
 from loamwork.llm.common import documents, id_text, map_rows
 
-#: Bytes of payload are a multiple of this: a row of 64 pixels of three samples.
+#: Bytes of payload are a multiple of this: a row of as many grey pixels.
 ROW_BYTES = 192
 
 
@@ -25,43 +25,49 @@ def payload_of(text: str) -> bytes:
 
 
 def image_of(payload: bytes) -> np.ndarray:
-    """Three samples a pixel, 64 pixels a row; rows are made longer where the format's height would not do."""
-    pixels = np.frombuffer(payload, np.uint8).reshape(-1, 3)
-    width = 64
-    while len(pixels) // width > webp.MAX_SIDE or len(pixels) % width:
-        width += 64
-        if width > webp.MAX_SIDE:
-            raise ValueError("the payload is larger than one image can hold")
-    return pixels.reshape(-1, width, 3)
+    """A grey pixel for each byte, 192 in a row, or more where the format's height would not do; then the last row is
+    filled with transparent pixels, and there is an alpha sample."""
+    grey = np.frombuffer(payload, np.uint8)
+    width = ROW_BYTES * -(-len(grey) // (ROW_BYTES * webp.MAX_SIDE))
+    if width > webp.MAX_SIDE:
+        raise webp.WebpError(f"no image holds {len(grey)} bytes")
+    rows = -(-len(grey) // width)
+    if rows * width == len(grey):
+        return np.repeat(grey[:, None], 3, axis=1).reshape(rows, width, 3)
+    out = np.zeros((rows * width, 4), dtype=np.uint8)
+    out[: len(grey), :3] = grey[:, None]
+    out[: len(grey), 3] = 255
+    return out.reshape(rows, width, 4)
 
 
 def samples_of(pixels: np.ndarray) -> bytes:
     """The payload back from decoded pixels."""
-    return pixels[:, :, :3].tobytes()
+    flat = pixels.reshape(-1, 4)
+    filled = int((flat[-pixels.shape[1] :, 3] == 0).sum())
+    return flat[: len(flat) - filled, 1].tobytes()
 
 
 def feature_of(pixels: np.ndarray) -> str:
-    """Size, channel means and spreads in thousandths, and a 64-bit difference hash of 8 x 9 block means of the samples."""
-    rgb = pixels[:, :, :3].reshape(-1, 3).astype(np.float64)
+    """Size, the samples' mean and spread in thousandths, and a 64-bit difference hash of 8 x 9 block means (filling included)."""
     height, width = pixels.shape[:2]
-    grey = pixels[:, :, :3].sum(axis=2, dtype=np.int64).ravel()
-    edges = np.arange(73) * len(grey) // 72 if len(grey) >= 72 else None
-    means = np.add.reduceat(grey, edges[:-1]) / np.diff(edges) if edges is not None else np.resize(grey, 72)
-    grid = means.reshape(8, 9)
+    grey = np.ascontiguousarray(pixels[:, :, 1]).ravel().astype(np.int64)
+    edges = np.arange(73) * len(grey) // 72
+    grid = (np.add.reduceat(grey, edges[:-1]) / np.diff(edges)).reshape(8, 9)
     bits = (grid[:, 1:] > grid[:, :-1]).ravel()
-    mean, spread = (np.floor(a * 1000 + 0.5).astype(int) for a in (rgb.mean(axis=0), rgb.std(axis=0)))
-    return f"{width}x{height};mean={','.join(map(str, mean))};std={','.join(map(str, spread))};dhash={np.packbits(bits).tobytes().hex()}"
+    mean = grey.sum() / len(grey)
+    spread = (max(0.0, (grey * grey).sum() / len(grey) - mean * mean)) ** 0.5
+    return f"{width}x{height};mean={int(mean * 1000 + 0.5)};std={int(spread * 1000 + 0.5)};dhash={np.packbits(bits).tobytes().hex()}"
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (before filling) and media (a lossless WebP file) of each text; a null text is empty.
 
     Repeated rows each give a row; an empty table gives none; other columns are ignored.  A text of over
-    16384 x 16384 x 3 bytes raises.
+    16,320 x 16,384 bytes (267 MB), which no one image holds, raises; a row of Spark's holds 2 GB at most.
     """
 
     def store(ids: list[int], texts: list[str]) -> dict:
-        return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "media": [webp.encode(image_of(payload_of(t))) for t in texts]}
+        return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "media": [webp_writer.encode(image_of(payload_of(t))) for t in texts]}
 
     return map_rows(id_text(docs), ["doc_id", "text"], store, "doc_id long, n_bytes long, media binary")
 
@@ -92,12 +98,16 @@ def decode_media(df: DataFrame, key: str = "doc_id", media: str = "media") -> Da
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """store_texts() and decode_media() in one step, with what is read back as digests and a feature string."""
+    """store_texts() and decode_media() in one step, with what is read back as digests and a feature string.
+
+    Null is the empty text, which is stored as 192 bytes 32.  Equal texts give equal rows but for doc_id, null or not;
+    repeated rows each give a row; an empty table gives none; other columns are ignored.
+    """
 
     def digest(ids: list[int], texts: list[str]) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         for doc_id, text in zip(ids, texts):
-            media = webp.encode(image_of(payload_of(text)))
+            media = webp_writer.encode(image_of(payload_of(text)))
             pixels = webp.decode(media)
             payload = samples_of(pixels)
             row = (doc_id, len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(pixels))

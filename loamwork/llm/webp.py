@@ -1,19 +1,21 @@
-"""Lossless WebP (VP8L): a decoder of the whole format and a fast encoder, on numpy arrays.
+"""Lossless WebP (VP8L): a decoder of the whole format, on numpy arrays; ``webp_writer`` holds the encoder.
 
 Pixels are height x width x 4 arrays of unsigned bytes in the order red, green, blue, alpha.
 
 ``decode`` reads any lossless stream: simple and normal prefix codes, groups of codes chosen by an entropy
 image, back-references, the colour cache, and the predictor, cross-colour, subtract-green and palette
-transforms.  Where each code of an image has codewords of one length, every pixel starts at a known bit, and all
-are read at once; other streams are read symbol by symbol.
+transforms.
 
-``encode`` writes such equal-length codes: each channel's samples are numbered, and each pixel takes the bits
-that the three numbers need.  Any decoder of the format can read the result.
+Where an image has one group of codes, the symbols that would start at every bit of a stretch of the stream are
+looked up at once, with the bit at which the next pixel, copy or cache reference would begin; walking from bit to
+bit then gives those that do start.  An image of several groups, whose codes depend on the place, is read symbol
+by symbol.  Predictors that need no left neighbour are undone a row at a time.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 
 import numpy as np
 
@@ -34,7 +36,11 @@ SHORT_DISTANCES = [
 ]
 CACHE_MULTIPLIER = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
-_ALPHABETS = (256 + 24, 256, 256, 256, 40)  # green with lengths, red, blue, alpha, distance
+ALPHABETS = (256 + 24, 256, 256, 256, 40)  # green with lengths, red, blue, alpha, distance
+
+
+#: The numbers of 15 bits with their bits turned round.
+TURNED = [int(t) for t in (np.arange(1 << 15)[:, None] >> np.arange(15) & 1) @ (1 << np.arange(14, -1, -1))]
 
 
 class WebpError(ValueError):
@@ -69,7 +75,14 @@ class _Bits:
         self.skip(n)
         return value
 
+    def tail(self, n: int) -> int:
+        """The next n bits or more, which stay unread."""
+        first = self.at // 8
+        return int.from_bytes(self.data[first : first + n // 8 + 2], "little") >> self.at % 8
+
     def seek(self, bit: int) -> None:
+        if bit > 8 * len(self.data) + 64:
+            raise WebpError("the stream ends early")
         self.at, self._next = bit, bit // 8
         self._word = self._have = 0
         if bit % 8:
@@ -79,35 +92,34 @@ class _Bits:
 
 
 class _Code:
-    """A prefix code.  ``width`` is the common length of all codewords, or None."""
+    """A prefix code: ``table`` has symbol << 4 | length for the next ``longest`` bits of the stream."""
 
     def __init__(self, lengths: dict[int, int]):
         used = sorted((n, s) for s, n in lengths.items() if n)
-        self.width, self.symbols = None, None
-        if not used:
-            used = [(0, 0)]
-        if len(used) == 1:
-            self.width, self.symbols, self.longest, self.table = 0, np.array([used[0][1]]), 0, [(used[0][1], 0)]
-            return
-        if sum(2 ** (15 - n) for n, _ in used) != 1 << 15:
-            raise WebpError("a prefix code is not complete")
-        self.longest = used[-1][0]
-        table: list = [None] * (1 << self.longest)
-        code, last = 0, used[0][0]
-        for n, s in used:
-            code <<= n - last
-            last = n
-            for k in range(int(format(code, f"0{n}b")[::-1], 2), 1 << self.longest, 1 << n):
-                table[k] = (s, n)
-            code += 1
-        self.table = table
-        if used[0][0] == self.longest:
-            self.width, self.symbols = self.longest, np.array([s for s, _ in table])
+        if len(used) < 2:
+            self.longest, self.table = 0, np.array([used[0][1] << 4 if used else 0], dtype=np.int32)
+        else:
+            if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
+                raise WebpError("a prefix code is not complete")
+            self.longest = used[-1][0]
+            self.table = np.empty(1 << self.longest, dtype=np.int32)
+            code, last = 0, used[0][0]
+            for n, s in used:
+                code <<= n - last
+                last = n
+                self.table[TURNED[code << (15 - n)] :: 1 << n] = s << 4 | n
+                code += 1
+        self.mask = (1 << self.longest) - 1
+        self.walk = memoryview(self.table)
 
     def read(self, bits: _Bits) -> int:
-        symbol, n = self.table[bits.peek(self.longest)] if self.longest else self.table[0]
-        bits.skip(n)
-        return symbol
+        entry = self.walk[bits.peek(self.longest)] if self.longest else self.walk[0]
+        bits.skip(entry & 15)
+        return entry >> 4
+
+    def at(self, windows: np.ndarray) -> np.ndarray:
+        """The table's entries for windows of the stream's bits."""
+        return self.table[windows & self.mask] if self.longest else np.broadcast_to(self.table, windows.shape)
 
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
@@ -124,21 +136,30 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     out: dict[int, int] = {}
     at, previous = 0, 8
+    start, mask, walk = bits.at, reader.mask, reader.walk
+    word, taken = bits.tail(alphabet * 14 + 64), 0  # the longest a code's lengths can be
     while at < alphabet and left:
         left -= 1
-        n = reader.read(bits)
+        entry = walk[word & mask]
+        used, n = entry & 15, entry >> 4
         if n < 16:
+            word >>= used
+            taken += used
             if n:
                 out[at] = previous = n
             at += 1
             continue
-        value = previous if n == 16 else 0
-        times = 3 + bits.read(2) if n == 16 else 3 + bits.read(3) if n == 17 else 11 + bits.read(7)
+        word >>= used
+        extra, base = ((2, 3), (3, 3), (7, 11))[n - 16]
+        times = base + (word & ((1 << extra) - 1))
+        word >>= extra
+        taken += used + extra
         if at + times > alphabet:
             raise WebpError("code lengths run over the alphabet")
-        if value:
-            out.update(dict.fromkeys(range(at, at + times), value))
+        if n == 16:
+            out.update(dict.fromkeys(range(at, at + times), previous))
         at += times
+    bits.seek(start + taken)
     return _Code(out)
 
 
@@ -160,29 +181,158 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
         chooser_bits = 2 + bits.read(3)
         chooser = _read_image(bits, -(-width >> chooser_bits), -(-height >> chooser_bits), False) >> 8 & 0xFFFF
         groups = int(chooser.max()) + 1
-    codes = [[_read_code(bits, n + ((1 << cache_bits) if k == 0 and cache_bits else 0)) for k, n in enumerate(_ALPHABETS)] for _ in range(groups)]
-    if groups == 1 and not cache_bits and all(c.width is not None for c in codes[0][:4]) and int(codes[0][0].symbols.max()) < 256:
-        return _equal_widths(bits, codes[0], width * height).reshape(height, width)
+    codes = [[_read_code(bits, n + ((1 << cache_bits) if k == 0 and cache_bits else 0)) for k, n in enumerate(ALPHABETS)] for _ in range(groups)]
+    if groups == 1 and width * height > 32:
+        return _one_group(bits, codes[0], cache_bits, width, height)
     return _symbol_by_symbol(bits, codes, chooser, chooser_bits, cache_bits, width, height)
 
 
-def _equal_widths(bits: _Bits, codes: list[_Code], n: int) -> np.ndarray:
-    per_pixel = sum(c.width for c in codes[:4])
-    out = np.zeros(n, dtype=np.uint32)
-    if bits.at + n * per_pixel > 8 * len(bits.data):
-        raise WebpError("the stream ends early")
-    first = bits.at // 8
-    raw = np.frombuffer(bits.data, np.uint8, -(-(bits.at + n * per_pixel) // 8) - first, first)
-    flat = np.unpackbits(raw, bitorder="little")[bits.at % 8 :][: n * per_pixel].reshape(n, per_pixel)
-    column = 0
-    for code, shift in zip(codes, (8, 16, 0, 24)):
-        number = np.zeros(n, dtype=np.uint32)
-        for k in range(code.width):
-            number |= flat[:, column + k].astype(np.uint32) << np.uint32(k)
-        column += code.width
-        out |= code.symbols.astype(np.uint32)[number] << np.uint32(shift)
-    bits.seek(bits.at + n * per_pixel)
-    return out
+#: Bytes of the stream looked up at once.
+STRETCH = 1 << 14
+
+
+def _prefix_parts(symbols: np.ndarray):
+    """The base and the number of extra bits of length or distance symbols."""
+    extra = np.maximum(symbols - 2, 0) >> 1
+    return np.where(symbols < 4, symbols + 1, ((2 + (symbols & 1)) << extra) + 1), np.where(symbols < 4, 0, extra)
+
+
+def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, height: int) -> np.ndarray:
+    """The pixels of an image with one group of codes.  A token is a literal's ARGB, a cache slot or a copy's length and distance."""
+    green, red, blue, alpha, distance = codes
+    total, at, p = width * height, 0, bits.at
+    values, distances = [], []
+    has_special = bool((green.table >= 256 << 4).any())
+    lean = not (red.longest or blue.longest or alpha.longest)
+    none = np.empty(0, dtype=np.int64)
+    while at < total:
+        if p > 8 * len(bits.data):
+            raise WebpError("the stream ends early")
+        first = p // 8
+        raw = np.frombuffer(bits.data[first : first + STRETCH + 16].ljust(16, b"\0") + bytes(16), np.uint8).astype(np.uint64)
+        words = raw[:-7].copy()
+        for k in range(1, 8):
+            words |= raw[k : len(words) + k] << np.uint64(8 * k)
+        # the bits at which a token may start: what it needs lies within the words
+        n = 8 * STRETCH if first + STRETCH + 16 < len(bits.data) else 8 * len(words) - 64
+
+        def windows(q: np.ndarray) -> np.ndarray:
+            """The next 32 bits at places of the stretch."""
+            return (words[q >> 3] >> (q & 7).astype(np.uint64)).astype(np.uint32)
+
+        every = (words.astype(np.uint32)[: n // 8 + 1, None] >> np.arange(8, dtype=np.uint32)).ravel()[:n]
+        entry = green.at(every)
+        following = entry & 15
+        following += np.arange(n, dtype=np.int32)
+        special = np.flatnonzero(entry >= 256 << 4) if has_special else none
+        if not lean:
+            q = following.astype(np.int64)
+            for code in (red, blue, alpha):
+                if code.longest:
+                    q += code.at(windows(q)) & 15
+            q[special] = following[special]
+            following = q.astype(np.int32)
+        symbol = entry[special] >> 4
+        copies = special[symbol < 280]
+        base, extra = _prefix_parts(symbol[symbol < 280] - 256)
+        q = following[copies].astype(np.int64)
+        lengths = base + (windows(q) & ((1 << extra) - 1))
+        q += extra
+        found = distance.at(windows(q))
+        far, extra = _prefix_parts(found >> 4)
+        q += found & 15
+        reach = far + (windows(q) & ((1 << extra) - 1))
+        following[copies] = q + extra
+        walk, q = memoryview(np.append(np.minimum(following, n), np.int32(n))), p - 8 * first
+        if green.longest or not lean:
+            starts = [q]
+            while q < n and len(starts) < total - at:
+                starts += [q := walk[q] for _ in range(min(512, total - at))]
+        else:  # no token takes a bit
+            starts = [q] * (total - at)
+        own = np.array(starts, dtype=np.int64)
+        own = own[: min(int(np.searchsorted(own, n)), total - at)]
+        s = (entry[own] >> 4).astype(np.int64)
+        is_copy = (s >= 256) & (s < 280)
+        place = np.searchsorted(copies, own[is_copy])
+        step = np.ones(len(own), dtype=np.int64)
+        step[is_copy] = lengths[place]
+        until = at + np.cumsum(step)
+        kept = int(np.searchsorted(until, total)) + 1  # what the walk met beyond the image's end is no token
+        if kept < len(own):
+            own, s, is_copy, step, place = own[:kept], s[:kept], is_copy[:kept], step[:kept], place[: int(is_copy[:kept].sum())]
+        at += int(step.sum())
+        p = 8 * first + int(following[own[-1]])
+        ends = own + (entry[own] & 15)
+        channels = []
+        for code in (red, blue, alpha):
+            got = code.at(windows(ends)) if code.longest else code.table
+            ends = ends + (got & 15)
+            channels.append((got >> 4).astype(np.int64))
+        r, b, a = channels
+        value = np.where(s < 256, a << 24 | r << 16 | s << 8 | b, s - 280 | 1 << 32)
+        if len(place):
+            value[is_copy] = step[is_copy] | 2 << 32
+            distances.append(reach[place])
+        values.append(value)
+    if p > 8 * len(bits.data) or at > total:
+        raise WebpError("the stream ends early" if at <= total else "a back-reference leaves the image")
+    bits.seek(p)
+    value = np.concatenate(values)
+    if not has_special:
+        return value.astype(np.uint32).reshape(height, width)
+    return _replayed(value, _distances(np.concatenate(distances) if distances else none, width), cache_bits).reshape(height, width)
+
+
+def _replayed(value: np.ndarray, distances: list[int], cache_bits: int) -> np.ndarray:
+    """Pixels of tokens, with copies and cache references resolved in order."""
+    out = array("I")
+
+    def copy(length: int, d: int) -> array:
+        at = len(out)
+        if d > at:
+            raise WebpError("a back-reference leaves the image")
+        return out[at - d : at - d + length] if d >= length else (out[at - d :] * (length // d + 1))[:length]
+
+    is_copy = value >= 2 << 32
+    lengths = (value[is_copy] & 0xFFFFFFFF).tolist()
+    if not cache_bits:
+        tokens, at = array("I", value.astype(np.uint32).tobytes()), 0
+        for k, length, d in zip(np.flatnonzero(is_copy).tolist(), lengths, distances):
+            if k > at:
+                out += tokens[at:k]
+            out += copy(length, d)
+            at = k + 1
+        return np.frombuffer(out + tokens[at:], dtype=np.uint32)
+    cache = [0] * (1 << cache_bits)
+    shift = 32 - cache_bits
+    copies = zip(lengths, distances)
+    for v, slot in zip(value.tolist(), ((value.astype(np.uint32) * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(shift)).tolist()):
+        if v < 1 << 32:
+            out.append(v)
+            cache[slot] = v
+        elif v < 2 << 32:
+            v = cache[v & 0xFFFF]
+            out.append(v)
+            cache[(CACHE_MULTIPLIER * v & 0xFFFFFFFF) >> shift] = v
+        else:
+            part = copy(*next(copies))
+            out += part
+            for v in part:
+                cache[(CACHE_MULTIPLIER * v & 0xFFFFFFFF) >> shift] = v
+    return np.frombuffer(out, dtype=np.uint32)
+
+
+def _distances(codes: np.ndarray, width: int) -> list[int]:
+    short = np.array([max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES]) if len(codes) and codes.min() <= len(SHORT_DISTANCES) else np.ones(1, dtype=np.int64)
+    return np.where(codes > len(SHORT_DISTANCES), codes.astype(np.int64) - len(SHORT_DISTANCES), short[np.minimum(codes, len(short)) - 1]).tolist()
+
+
+def _distance(code: int, width: int) -> int:
+    if code > len(SHORT_DISTANCES):
+        return code - len(SHORT_DISTANCES)
+    dx, dy = SHORT_DISTANCES[code - 1]
+    return max(1, dx + dy * width)
 
 
 def _symbol_by_symbol(bits: _Bits, codes, chooser, chooser_bits: int, cache_bits: int, width: int, height: int) -> np.ndarray:
@@ -207,12 +357,7 @@ def _symbol_by_symbol(bits: _Bits, codes, chooser, chooser_bits: int, cache_bits
             put(alpha.read(bits) << 24 | r << 16 | s << 8 | b)
         elif s < 256 + 24:
             length = _extended(bits, s - 256)
-            d = _extended(bits, distance.read(bits))
-            if d > len(SHORT_DISTANCES):
-                d -= len(SHORT_DISTANCES)
-            else:
-                dx, dy = SHORT_DISTANCES[d - 1]
-                d = max(1, dx + dy * width)
+            d = _distance(_extended(bits, distance.read(bits)), width)
             if d > at or at + length > total:
                 raise WebpError("a back-reference leaves the image")
             for _ in range(length):
@@ -262,6 +407,13 @@ def _predict(mode: int, left, top, corner, right):
     return np.clip(middle + np.where(half < 0, -(-half >> 1), half >> 1), 0, 255)
 
 
+def _row_prediction(mode: int, above: np.ndarray, corner: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """The predictions of a stretch of a row that need no left neighbour, else None."""
+    if mode in (0, 14, 15):
+        return np.array([255, 0, 0, 0], dtype=np.int16)
+    return {2: above, 3: right, 4: corner}.get(mode) if mode < 8 else _average(corner, above) if mode == 8 else _average(above, right) if mode == 9 else None
+
+
 def _invert_predictor(argb: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
     height, width = argb.shape
     p = _channels(argb)
@@ -270,9 +422,18 @@ def _invert_predictor(argb: np.ndarray, modes: np.ndarray, bits: int) -> np.ndar
     p[0] = np.cumsum(p[0], axis=0) & 0xFF  # the first row: left
     for y in range(1, height):
         p[y, 0] = p[y, 0] + p[y - 1, 0] & 0xFF
-        for x in range(1, width):
-            right = p[y - 1, x + 1] if x + 1 < width else p[y, 0]
-            p[y, x] = p[y, x] + _predict(int(modes[y >> bits, x >> bits]), p[y, x - 1], p[y - 1, x], p[y - 1, x - 1], right) & 0xFF
+        above = p[y - 1]
+        right = np.concatenate([above[1:], p[y, :1]])
+        for tile in range(-(-width >> bits)):
+            a, b = max(1, tile << bits), min(width, (tile + 1) << bits)
+            mode = int(modes[y >> bits, tile])
+            if mode == 1:
+                p[y, a - 1 : b] = np.cumsum(p[y, a - 1 : b], axis=0) & 0xFF
+            elif (guess := _row_prediction(mode, above[a:b], above[a - 1 : b - 1], right[a:b])) is not None:
+                p[y, a:b] = p[y, a:b] + guess & 0xFF
+            else:
+                for x in range(a, b):
+                    p[y, x] = p[y, x] + _predict(mode, p[y, x - 1], above[x], above[x - 1], right[x]) & 0xFF
     return _words(p)
 
 
@@ -345,81 +506,3 @@ def decode(data: bytes) -> np.ndarray:
             argb = _invert_palette(argb, side, outer)
     out = np.stack([argb >> 16 & 0xFF, argb >> 8 & 0xFF, argb & 0xFF, argb >> 24 if alpha else np.full_like(argb, 255)], axis=-1)
     return out.astype(np.uint8)
-
-
-class BitWriter:
-    def __init__(self):
-        self.word, self.n = 0, 0
-
-    def put(self, value: int, n: int) -> None:
-        self.word |= value << self.n
-        self.n += n
-
-    def array(self) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(self.word.to_bytes(-(-self.n // 8) or 1, "little"), np.uint8), bitorder="little")[: self.n]
-
-
-def write_single(out: BitWriter, symbol: int) -> None:
-    """A code of one symbol under 256."""
-    out.put(0b1 | 0b0 << 1 | 1 << 2, 3)
-    out.put(symbol, 8)
-
-
-def _write_equal(out: BitWriter, samples: np.ndarray, alphabet: int):
-    """Write a code for a channel's samples whose codewords all have one length; give (codeword of a sample, length)."""
-    used = np.flatnonzero(np.bincount(samples, minlength=256))
-    if len(used) == 1:
-        write_single(out, int(used[0]))
-        return np.zeros(256, dtype=np.uint32), 0
-    n = max(1, int(len(used) - 1).bit_length())
-    member = np.zeros(256, dtype=bool)
-    member[used] = True
-    member[np.flatnonzero(~member)[: (1 << n) - len(used)]] = True
-    out.put(0, 1)  # a normal code; its code lengths are 0 and n, one bit each
-    places = max(CODE_LENGTH_ORDER.index(0), CODE_LENGTH_ORDER.index(n)) + 1
-    out.put(max(4, places) - 4, 4)
-    for s in CODE_LENGTH_ORDER[: max(4, places)]:
-        out.put(int(s in (0, n)), 3)
-    last = int(np.flatnonzero(member)[-1])
-    count = max(2, last + 1)
-    out.put(1, 1)
-    out.put(3, 3)
-    out.put(count - 2, 8)
-    out.put(int.from_bytes(np.packbits(member[:count], bitorder="little").tobytes(), "little"), count)
-    rank = np.cumsum(member) - 1
-    codeword = np.zeros(256, dtype=np.uint32)
-    for k in range(n):
-        codeword |= ((rank >> k & 1) << (n - 1 - k)).astype(np.uint32)
-    return codeword, n
-
-
-def encode(rgb: np.ndarray) -> bytes:
-    """A height x width x 3 array of bytes as a lossless WebP file."""
-    height, width, _ = rgb.shape
-    if not 0 < width <= MAX_SIDE or not 0 < height <= MAX_SIDE:
-        raise WebpError(f"sides must lie between 1 and {MAX_SIDE}")
-    out = BitWriter()
-    out.put(0x2F, 8)
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(0, 1 + 3)  # no alpha, version 0
-    out.put(0, 1)  # no transform
-    out.put(0, 1 + 1)  # no colour cache, one group of codes
-    flat = rgb.reshape(-1, 3)
-    value, width_bits = np.zeros(len(flat), dtype=np.uint32), 0
-    for channel, alphabet in ((1, _ALPHABETS[0]), (0, 256), (2, 256)):
-        codeword, n = _write_equal(out, flat[:, channel], alphabet)
-        value |= codeword[flat[:, channel]] << np.uint32(width_bits)
-        width_bits += n
-    write_single(out, 255)
-    write_single(out, 0)
-    planes = np.empty((len(flat), width_bits), dtype=np.uint8)
-    for k in range(width_bits):
-        planes[:, k] = value >> np.uint32(k) & np.uint32(1)
-    return container(np.packbits(np.concatenate([out.array(), planes.ravel()]), bitorder="little").tobytes())
-
-
-def container(payload: bytes) -> bytes:
-    """The RIFF file of a VP8L payload."""
-    chunk = b"VP8L" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) % 2)
-    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from loamwork.llm import media, webp
+from loamwork.llm import media, webp, webp_writer
 
 RNG = np.random.default_rng(5)
 
@@ -95,11 +95,11 @@ def write_image(out, ops, cache_bits=0, main=True, groups=None, chooser=None, ch
 
 
 def file_of(width, height, body, alpha=1):
-    out = webp.BitWriter()
+    out = webp_writer.BitWriter()
     for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (alpha, 1), (0, 3)):
         out.put(v, n)
     body(out)
-    return webp.container(np.packbits(out.array(), bitorder="little").tobytes())
+    return webp_writer.container(np.packbits(out.array(), bitorder="little").tobytes())
 
 
 def pixels(height, width):
@@ -256,17 +256,55 @@ def test_round_trip_of_payloads():
     for text in ("", "x", "y" * 500, "é漢😀" * 99, "".join(map(chr, range(32, 127))) * 40):
         payload = media.payload_of(text)
         assert len(payload) % 192 == 0 and payload.startswith(text.encode())
-        assert media.samples_of(webp.decode(webp.encode(media.image_of(payload)))) == payload
+        assert media.samples_of(webp.decode(webp_writer.encode(media.image_of(payload)))) == payload
     noise = RNG.integers(0, 256, (11, 64, 3)).astype(np.uint8)
-    assert (webp.decode(webp.encode(noise))[:, :, :3] == noise).all()
+    assert (webp.decode(webp_writer.encode(noise))[:, :, :3] == noise).all()
+
+
+@pytest.mark.parametrize("n", [192 * 16_384, 192 * 16_411, 192 * 20_011])
+def test_texts_of_more_rows_than_an_image_has(n):
+    payload = ("some words of a long text, numbered " * (n // 36 + 1)).encode()[: n - 500] + RNG.integers(0, 256, 500).astype(np.uint8).tobytes()
+    image = media.image_of(payload)
+    assert max(image.shape[:2]) <= webp.MAX_SIDE and media.samples_of(webp.decode(webp_writer.encode(image))) == payload
+
+
+def first_transforms(file):
+    bits = webp._Bits(file[20:])
+    bits.read(8 + 14 + 14 + 4)
+    return bits.read(3) >> 1 if bits.peek(1) else None
+
+
+def test_encoder_takes_each_transform():
+    """Images that each transform is made for: it is taken, and undone."""
+    y, x = np.mgrid[0:64, 0:96]
+    noise = RNG.integers(0, 256, (64, 96))
+    skewed = np.where(noise < 200, noise % 3, 255 - noise % 40)
+    skewed = np.where(noise < 200, noise % 3, 255 - noise % 40)
+    smooth = np.stack([x * 2 + y & 255, x + y * 2 & 255, 255 - x - y & 255], axis=-1)
+    images = {
+        webp.PREDICTOR: smooth, webp.SUBTRACT_GREEN: np.stack([skewed] * 3, axis=-1), webp.PALETTE: np.array([[9, 200, 3], [77, 1, 90], [3, 3, 250]])[noise % 3],
+        webp.CROSS_COLOUR: np.stack([(skewed.astype(np.uint8).view(np.int8).astype(int) >> 1), skewed, RNG.integers(0, 256, (64, 96))], axis=-1) & 255,
+    }
+    for kind, image in images.items():
+        file = webp_writer.encode(image.astype(np.uint8))
+        assert first_transforms(file) == kind and (webp.decode(file)[..., :3] == image).all()
+    many = RNG.integers(0, 256, (300, 3))[RNG.integers(0, 300, (64, 96)) ** 2 // 300].astype(np.uint8)
+    assert (webp.decode(webp_writer.encode(many))[..., :3] == many).all() and len(webp_writer.encode(many)) < many.nbytes / 2  # a cache
+
+
+def test_code_lengths_are_complete():
+    for limit, counts in ((15, RNG.integers(0, 2000, 280)), (15, 2 ** np.arange(30)), (7, RNG.integers(0, 2, 19) * 5), (7, 3 ** np.arange(19)), (15, np.array([0, 1, 0, 1]))):
+        if (counts > 0).sum() > 1:
+            lengths = webp_writer.code_lengths(counts, limit)
+            assert lengths.max() <= limit and sum(2.0 ** -n for n in lengths if n) == 1 and ((lengths > 0) == (counts > 0)).all()
 
 
 def test_broken_streams():
-    good = webp.encode(np.zeros((2, 64, 3), np.uint8))
+    good = webp_writer.encode(np.zeros((2, 64, 3), np.uint8))
     for bad in (b"", b"RIFF", good[:12] + b"XXXX" + good[16:], good[:20] + b"\x00" + good[21:]):
         with pytest.raises(webp.WebpError):
             webp.decode(bad)
-    cut = webp.encode(RNG.integers(0, 256, (40, 64, 3)).astype(np.uint8))
+    cut = webp_writer.encode(RNG.integers(0, 256, (40, 64, 3)).astype(np.uint8))
     with pytest.raises(webp.WebpError):
         webp.decode(cut[: len(cut) // 2])
 
@@ -275,7 +313,7 @@ def test_media_columns(spark):
     docs = spark.createDataFrame([(1, None, 9), (2, "hello", 9), (2, "hello", 9)], "doc_id long, text string, media int")
     stored = media.store_texts(docs)
     read = {r["doc_id"]: r for r in media.decode_media(stored).collect()}
-    assert bytes(read[2]["pixels"])[:3] == b"hel" and read[1]["width"] == 64 and read[1]["error"] is None
+    assert bytes(read[2]["pixels"])[1:20:4] == b"hello" and read[1]["width"] == 192 and read[1]["error"] is None
     odd = spark.createDataFrame([(1, None), (2, bytearray(b"no"))], "doc_id long, media binary")
     assert [(r["pixels"], r["error"] is None) for r in media.decode_media(odd).orderBy("doc_id").collect()] == [(None, True), (None, False)]
     digests = {(r["doc_id"], r["payload_bytes"], r["n_bytes"]) for r in media.media_digest(docs).collect()}

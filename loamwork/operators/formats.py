@@ -129,11 +129,6 @@ def class_folder(df: DataFrame, path: str, label: str, order: str) -> DataFrame:
     return collision_names(df.withColumn("folder", folder), F.col("folder"), path, order)
 
 
-def speech_text(df: DataFrame) -> DataFrame:
-    columns = ["audio", "text", *(["duration"] if "duration" in df.columns else [])]
-    return df.select(*columns).filter((F.coalesce(F.trim("audio"), F.lit("")) != "") & (F.coalesce(F.trim("text"), F.lit("")) != ""))
-
-
 def csv_images(df: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     keep = [c for c in (include or df.columns) if c not in (exclude or [])]
     return df.select(*keep, F.concat(F.lit("images/"), base_name(F.col("image"))).alias("image_path"))
@@ -175,7 +170,6 @@ class Registry:
 FORMATS = Registry()
 for _name, _category, _fn in (
     ("alpaca", "text", alpaca), ("raw", "text", raw), ("chatml", "text", chatml), ("sharegpt", "text", sharegpt), ("oasst", "text", oasst),
-    ("llava", "vision", llava), ("coco", "vision", coco), ("coco-seg", "vision", coco), ("yolo", "vision", yolo), ("csv-images", "vision", csv_images),
-    ("imagefolder", "vision", class_folder), ("audiofolder", "audio", class_folder), ("speech-text", "audio", speech_text),
+    ("llava", "vision", llava), ("coco", "vision", coco), ("yolo", "vision", yolo), ("csv-images", "vision", csv_images),
 ):
     FORMATS.register(_name, _category, _fn)

@@ -50,10 +50,12 @@ def read_any(spark: SparkSession, path: str, kind: str = "auto", delimiter: str
     kind = kind_of(path, kind)
     if kind == "csv" and dialect == "naive":
         lines = spark.read.text(path).filter(F.trim("value") != "")
-        header = lines.first()
+        # the header is the first line of the first file, and only there a header
+        lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+        header = lines.groupBy("_file").agg(F.min("_at").alias("_at"), F.min_by("value", "_at").alias("value")).orderBy("_file").first()
         names = [n.strip() for n in header["value"].split(delimiter)] if header else []
         parts = F.split("value", f"\\Q{delimiter}\\E")
-        return lines.filter(F.col("value") != header["value"]).select(*[F.trim(F.get(parts, F.lit(k))).alias(n) for k, n in enumerate(names)]) if names else lines.select()
+        return lines.filter((F.col("_file") != (header["_file"] if header else "")) | (F.col("_at") != (header["_at"] if header else -1))).select(*[F.trim(F.get(parts, F.lit(k))).alias(n) for k, n in enumerate(names)]) if names else lines.select()
     if kind == "csv":
         reader = spark.read.option("header", True).option("sep", delimiter).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
         return reader.csv(path, inferSchema=dialect == "typed")
@@ -184,6 +186,8 @@ def synthetic(spark: SparkSession, kind: str, n: int, seed: int = 0) -> DataFram
     """n made-up rows of person, address, company, product, text or lorem; the same for the same seed."""
     pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
     number = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(k))
+    if kind not in ("person", "address", "company", "product", "text", "lorem"):
+        raise ValueError(f"nothing is made up of kind {kind!r}")
     rows = spark.range(n)
     if kind == "address":
         return rows.select("id", F.concat_ws(" ", number("no", 200).cast("string"), pick(WORDS["city"], "street"), F.lit("Street")).alias("street"), pick(WORDS["city"], "city").alias("city"))

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loamwork.plans import catalog, registry  # noqa: F401
+from loamwork.plans import catalog, catalog_more, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

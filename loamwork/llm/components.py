@@ -29,15 +29,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and component (the least node reachable) for every node of the edges (u, v)."""
     now = shared_checkpoint(edges.select("u", "v").filter("u != v").distinct())
     seen = None
-    for _ in range(most):
-        now = shared_checkpoint(_small_star(_large_star(now)))
-        # stars settle when the edges, as a set, no longer change
+    while True:  # stars settle, in rounds that grow as a logarithm, when the edges, as a set, no longer change
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if mark == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         seen = mark
-    raise RuntimeError(f"components did not settle in {most} rounds")
+        now = shared_checkpoint(_small_star(_large_star(now)))

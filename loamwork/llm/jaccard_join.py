@@ -11,17 +11,20 @@ number of subsets listed plus the list entries scanned, from the counts of sets
 
 The global order puts elements that many sets hold last: it is the logarithm of a count in a sketch of fixed size
 (``2 ** SKETCH`` counters summed over all documents), then the hash.  Any order is correct; this one keeps common
-passages out of the lists.  Every step is exact, and skew is met so:
+passages out of the lists.
+
+Only components are asked for, so a list is not expanded into its pairs.  Every step is exact:
 
 * Equal sets are one set; copies are collapsed within an Arrow batch, and altogether when lists are sorted.
-* Lists are dealt by element, many to a bucket, as packed columns.  An element whose sketch count, never too low,
-  exceeds ``HOT`` is dealt over several buckets as well; no task's list grows without bound.
-* A list of at most ``SMALL_LIST`` sets gives all its pairs that pass the size and position bounds.  A longer one
-  first gives each set's pairs with its ``LEADERS`` least sets.  These pairs are verified and joined to components,
-  and only pairs of different components in the longer lists follow, so a large group of near copies costs a few
-  pairs for each copy and no link between different components is lost.
-* Pairs are first tested by 1024-bit parity sketches, a lower bound of the sets' difference, then verified on the
-  whole sets, which are read again for the sets in question alone.
+* Lists are dealt by element, many to a bucket, as packed columns of eight bytes an entry.  An element whose sketch
+  count, never too low, exceeds ``HOT`` is dealt over several buckets as well; no task's list grows without bound.
+* First, each set of a list is paired with the list's ``LEADERS`` least sets.  Of those that pass the bounds each
+  set's nearest by sketch is verified and joined to components.  A list that then lies in one component is done.
+* In the other lists, the sets outside the largest component are compared with all sets of other components by
+  parity sketches, in blocks of packed arrays.  Each set's nearest is verified first, and the components joined
+  again.  What then still lies apart and is not refuted by its sketch is verified pair by pair.
+* Parity sketches of 1024 bits, more for larger sets, give a lower bound of the sets' difference.  Whole sets are compared from the
+  compressed texts of the sets in question.
 """
 
 from __future__ import annotations
@@ -41,20 +44,25 @@ from pyspark.sql.types import StructType
 
 from loamwork.llm.common import bounded_batches, documents, id_text, map_rows, shared_checkpoint
 from loamwork.llm.components import components
-from loamwork.llm.rowfilter import anti_join, semi_join
-from loamwork.llm.shingles import mix, set_identity, shingle_set
+from loamwork.llm.rowfilter import anti_join, filter_of, may_be_in
+from loamwork.llm.shingles import mix, set_identities, shingle_set
 
 SKETCH = 22
 SKETCH_BLOCKS = 64
 PARITY_WORDS = 16
 LARGEST_BOUNDARY = 10
-SMALL_LIST = 16
-#: Sets of a longer list that each of its sets is compared with first.
-LEADERS = 8
+#: Sets of a list that each of its sets is paired with at first.
+LEADERS = 2
 HOT = 200_000
 #: Sub-buckets of a hot element.
 SALTS = 64
 ENTRIES_A_BUCKET = 500_000
+LEAST_BUCKETS = 64
+#: Sets whose row keys (24 bytes each) are broadcast.
+BROADCAST_SETS = 1 << 19
+#: Sets of a list that are compared as one block: those outside its largest component, and all.
+BLOCK_OUTSIDE, BLOCK_ALL = 1024, 4096
+ROWS_A_BLOCK_BUCKET = 50_000
 
 
 def needed(n: int) -> int:
@@ -62,9 +70,18 @@ def needed(n: int) -> int:
     return -(-3 * n // 4)
 
 
-def _parity(s: np.ndarray) -> list[int]:
-    odd = (np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).tolist()
+def _parity(s: np.ndarray) -> bytes:
+    """The parity of the elements in each of at least four bins an element, ``64 * PARITY_WORDS`` or a power of two times that."""
+    bins = 64 * PARITY_WORDS << max(0, math.ceil(math.log2(max(1, len(s)) / (16 * PARITY_WORDS))))
+    return np.packbits((np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(p: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (in the last axis) as they would be with fewer bins: a bin's place is the lowest bits of its elements."""
+    while p.shape[-1] > words:
+        half = p.shape[-1] // 2
+        p = p[..., :half] ^ p[..., half:]
+    return p
 
 
 #: A null doc_id counts above all.
@@ -76,10 +93,16 @@ def _row_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_hash")]
 
 
+def _identity(s: np.ndarray, collided: frozenset[int]) -> int:
+    """The set's identity: 64 bits, or 64 others for the few sets whose first 64 bits another set has too."""
+    first, second = set_identities(s)
+    return second if first in collided else first
+
+
 def _summaries(rows: DataFrame) -> DataFrame:
-    """For each row doc_id, its text's hash, n, sig and parity; for each task the blocks of its sketch (block, counts)."""
+    """For each row doc_id, its text's hash, n, sig, chk (two identities) and parity; for each task the blocks of its sketch (block, counts)."""
     bounded_batches(rows.sparkSession)
-    schema = "doc_id long, _hash long, n long, sig long, parity array<long>, block int, counts binary"
+    schema = "doc_id long, _hash long, n long, sig long, chk long, parity binary, block int, counts binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,16 +112,16 @@ def _summaries(rows: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             if not sets:
                 continue
-            sigs = [set_identity(s) for s in sets]
+            sigs = [set_identities(s) for s in sets]
             fresh = {g: s for g, s in zip(sigs, sets)}  # equal sets of a batch count once
-            sketch += np.bincount((np.concatenate(list(fresh.values())) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
+            at, times = np.unique((np.concatenate(list(fresh.values())) >> np.uint64(64 - SKETCH)).astype(np.uint32), return_counts=True)
+            sketch[at] += times.astype(np.uint32)
             used = True
             none = [None] * len(sets)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "_hash": batch.column("_hash"), "n": [len(s) for s in sets], "sig": sigs, "parity": [_parity(s) for s in sets], "block": none, "counts": none}, schema=arrow)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "_hash": batch.column("_hash"), "n": [len(s) for s in sets], "sig": [g[0] for g in sigs], "chk": [g[1] for g in sigs], "parity": [_parity(s) for s in sets], "block": none, "counts": none}, schema=arrow)
         if used:
-            none = [None] * SKETCH_BLOCKS
-            counts = [zlib.compress(part.tobytes(), 1) for part in np.split(sketch, SKETCH_BLOCKS)]
-            yield pa.RecordBatch.from_pydict({"doc_id": none, "_hash": none, "n": none, "sig": none, "parity": none, "block": range(SKETCH_BLOCKS), "counts": counts}, schema=arrow)
+            for block, part in enumerate(np.split(sketch, SKETCH_BLOCKS)):
+                yield pa.RecordBatch.from_pydict({name: [{"block": block, "counts": zlib.compress(part.tobytes(), 1)}.get(name)] for name in arrow.names}, schema=arrow)
 
     return rows.select("doc_id", "text", _row_key()[1]).mapInArrow(run, schema)
 
@@ -111,8 +134,8 @@ def _levels(summaries: DataFrame) -> tuple[np.ndarray, int]:
         total = None
         for b in batches:
             for c in b.column("counts").to_pylist():
-                part = np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
-                total = part if total is None else total + part
+                part = np.frombuffer(zlib.decompress(c), np.uint32)
+                total = part.astype(np.uint64) if total is None else np.add(total, part, out=total)
         yield pa.RecordBatch.from_pydict({"block": [key[0].as_py()], "counts": [zlib.compress(total.tobytes(), 1)]}, schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
 
     parts = summaries.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
@@ -161,8 +184,11 @@ def _entries(s: np.ndarray, levels: np.ndarray, boundary: int):
     return np.concatenate(keys), np.concatenate(places), np.concatenate(rank)
 
 
-def _lists(rows: DataFrame, levels: np.ndarray, hot: int, boundary: int, buckets: int) -> DataFrame:
-    """Packed list entries by bucket: the sets (sig, n) of a batch, and key, set number and place of each entry."""
+def _lists(rows: DataFrame, levels: np.ndarray, hot: int, boundary: int, buckets: int, collided: frozenset[int]) -> DataFrame:
+    """Packed list entries by bucket: the sets (sig, n) of a batch; key (its upper 32 bits), set number and place of each entry.
+
+    Two keys of a bucket that share 32 bits only make a list of candidates too long.  A place over 65,535 counts as that.
+    """
     bounded_batches(rows.sparkSession)
     schema = "bucket long, hot boolean, sigs binary, sizes binary, keys binary, owners binary, places binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -170,28 +196,28 @@ def _lists(rows: DataFrame, levels: np.ndarray, hot: int, boundary: int, buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {set_identity(s): s for s in map(shingle_set, batch.column("text").to_pylist()) if len(s)}
+            sets = {_identity(s, collided): s for s in map(shingle_set, batch.column("text").to_pylist()) if len(s)}
             if not sets:
                 continue
             made = [_entries(s, shared.value, boundary) for s in sets.values()]
-            owner = np.repeat(np.arange(len(made)), [len(k) for k, _, _ in made])
+            owner = np.repeat(np.arange(len(made), dtype=np.uint16), [len(k) for k, _, _ in made])
             key, place, rank = (np.concatenate([m[i] for m in made]) for i in range(3))
             sig, size = np.array(list(sets), dtype=np.int64), np.array([len(s) for s in sets.values()], dtype=np.int32)
+            del made, sets
             is_hot = rank >= hot
             spread = np.where(is_hot, mix(sig[owner].view(np.uint64)) % np.uint64(SALTS), np.uint64(0))
-            bucket = (mix(key + spread) % np.uint64(buckets)).astype(np.int64)
-            part_of = 2 * bucket + is_hot
+            part_of = 2 * (mix(key + spread) % np.uint64(buckets)).astype(np.int64) + is_hot
             order = np.argsort(part_of, kind="stable")
             edges = np.flatnonzero(np.diff(part_of[order], prepend=-1))
             out: dict[str, list] = {name: [] for name in arrow.names}
             for part in np.split(order, edges[1:]):
                 own, number = np.unique(owner[part], return_inverse=True)
-                values = (int(bucket[part[0]]), bool(is_hot[part[0]]), sig[own].tobytes(), size[own].tobytes(), key[part].tobytes(), number.astype(np.uint16).tobytes(), place[part].astype(np.int32).tobytes())
+                values = (int(part_of[part[0]]) >> 1, bool(is_hot[part[0]]), sig[own].tobytes(), size[own].tobytes(), (key[part] >> np.uint64(32)).astype(np.uint32).tobytes(), number.astype(np.uint16).tobytes(), np.clip(place[part], -1, 65_534).astype(np.uint16).tobytes())
                 for name, v in zip(out, values):
                     out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.select("text").mapInArrow(run, schema)
 
 
 def _passes(na, pa_, nb, pb):
@@ -201,103 +227,114 @@ def _passes(na, pa_, nb, pb):
     return (4 * small >= 3 * large) & ((pa_ < 0) | (7 * ahead >= 3 * (na + nb)))
 
 
-_PAIR_SCHEMA = "a long, b long, key long, n long, place long, lead long"
-_PAIR_ARROW = pa.schema([(name, pa.int64()) for name in ("a", "b", "key", "n", "place", "lead")])
-
-
-def _bucket_pairs(short: int):
-    """Pairs (key null) of a bucket's lists of at most ``short`` sets and pairs with the first sets of its longer ones; the entries
-    (sig in a, key, n, place) of longer lists and of hot elements' lists, whose least set here is lead."""
-
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, n, keys, place, hot = [], [], [], [], []
-        for b in batches:
-            for warm, sigs, sizes, ks, owners, places in zip(*(b.column(c).to_pylist() for c in ("hot", "sigs", "sizes", "keys", "owners", "places"))):
-                own = np.frombuffer(owners, np.uint16)
-                sig.append(np.frombuffer(sigs, np.int64)[own])
-                n.append(np.frombuffer(sizes, np.int32)[own])
-                keys.append(np.frombuffer(ks, np.uint64))
-                place.append(np.frombuffer(places, np.int32))
-                hot.append(np.full(len(own), warm))
-        sig, n, keys, place, hot = map(np.concatenate, (sig, n, keys, place, hot))
-        # elements of one set alone go first: most of them; a hot element has other sets in other buckets
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same)) | hot[order]]
-        sig, n, keys, place, hot = sig[shared], n[shared].astype(np.int64), keys[shared], place[shared].astype(np.int64), hot[shared]
-        order = np.lexsort((sig, keys))
-        sig, n, keys, place, hot = sig[order], n[order], keys[order], place[order], hot[order]
-        first = np.ones(len(sig), dtype=bool)
-        first[1:] = (keys[1:] != keys[:-1]) | (sig[1:] != sig[:-1])
-        sig, n, keys, place, hot = sig[first], n[first], keys[first], place[first], hot[first]
-        if not len(sig):
-            return
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        lengths = np.diff(np.append(starts, len(keys)))
-        none = np.empty(0, dtype=np.int64)
-        left, right = [none], [none]
-        whole = (lengths <= short) & ~hot[starts]
-        for length in np.unique(lengths[whole & (lengths > 1)]):
-            rows = starts[whole & (lengths == length)][:, None]
-            i, j = np.triu_indices(length, 1)
-            left.append((rows + i).ravel())
-            right.append((rows + j).ravel())
-        long = np.flatnonzero(~whole)
-        members = np.concatenate([none, *(np.arange(starts[k], starts[k] + lengths[k]) for k in long)])
-        leads = np.repeat(starts[long], lengths[long])
-        for k in range(LEADERS):  # each member with the list's first sets; sigs are hashes, so these are any sets
-            ahead = members > leads + k
-            left.append(leads[ahead] + k)
-            right.append(members[ahead])
-        a, b = np.concatenate(left), np.concatenate(right)
-        ok = _passes(n[a], place[a], n[b], place[b])
-        pairs = np.unique(np.stack([sig[a[ok]], sig[b[ok]]], axis=1), axis=0)
-        k = len(pairs)
-        empty = lambda values: pa.array(np.concatenate((np.zeros(k, np.int64), values)), mask=np.arange(k + len(members)) < k)
-        yield pa.RecordBatch.from_pydict({
-            "a": np.concatenate((pairs[:, 0], sig[members])), "b": np.concatenate((pairs[:, 1], sig[members])), "key": empty(keys[members].view(np.int64)),
-            "n": empty(n[members]), "place": empty(place[members]), "lead": empty(sig[leads]),
-        }, schema=_PAIR_ARROW)
-
-    return run
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda x, y: x + y.cast("int"))
-
-
-def _parity_passes(a: str, b: str) -> Column:
-    """The sketches' difference, never more than the sets', leaves the threshold in reach."""
-    differ = _sum(F.zip_with(f"{a}.parity", f"{b}.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
-    # |A| + |B| - 2 i <= (|A| + |B|) / 7 at the threshold
-    return 7 * differ <= F.col(f"{a}.n") + F.col(f"{b}.n")
+_PAIR_SCHEMA = "a long, b long, list long, n long, place long"
+_PAIR_ARROW = pa.schema([(name, pa.int64()) for name in ("a", "b", "list", "n", "place")])
+
+
+def _bucket_pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b; list null) of a bucket's lists with their first sets; and the entries (a, list, n, place) of lists that these pairs
+    do not exhaust, lists of the same sets once.  A hot element's list is numbered by its key, so that its parts of other buckets join it."""
+    sig, n, keys, place, hot = [], [], [], [], []
+    for b in batches:
+        for warm, sigs, sizes, ks, owners, places in zip(*(b.column(c).to_pylist() for c in ("hot", "sigs", "sizes", "keys", "owners", "places"))):
+            own = np.frombuffer(owners, np.uint16)
+            sig.append(np.frombuffer(sigs, np.int64)[own])
+            n.append(np.frombuffer(sizes, np.int32)[own])
+            keys.append(np.frombuffer(ks, np.uint32))
+            place.append(np.frombuffer(places, np.uint16))
+            hot.append(np.full(len(own), warm))
+    sig, n, keys, place, hot = map(np.concatenate, (sig, n, keys, place, hot))
+    # elements of one set alone go first: most of them; a hot element has other sets in other buckets
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same)) | hot[order]]
+    sig, n, keys, place, hot = sig[shared], n[shared].astype(np.int64), keys[shared], place[shared].astype(np.int64), hot[shared]
+    place[place == 65_535] = -1
+    order = np.lexsort((place, sig, keys))
+    sig, n, keys, place, hot = sig[order], n[order], keys[order], place[order], hot[order]
+    first = np.ones(len(sig), dtype=bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (sig[1:] != sig[:-1])
+    sig, n, keys, place, hot = sig[first], n[first], keys[first], place[first], hot[first]
+    if not len(sig):
+        return
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    lengths = np.diff(np.append(starts, len(keys)))
+    lead, rank = np.repeat(starts, lengths), np.arange(len(keys)) - np.repeat(starts, lengths)
+    left, right = [], []
+    for k in range(LEADERS):  # each member with the list's first sets; sigs are hashes, so these are any sets
+        ahead = np.flatnonzero(rank > k)
+        left.append(lead[ahead] + k)
+        right.append(ahead)
+    a, b = np.concatenate(left), np.concatenate(right)
+    ok = _passes(n[a], place[a], n[b], place[b])
+    pairs = np.unique(np.stack([sig[a[ok]], sig[b[ok]]], axis=1), axis=0)
+    merged: dict[tuple[bool, bytes], list] = {}
+    bucket = key[0].as_py()
+    for at, length in zip(starts.tolist(), lengths.tolist()):
+        if length > LEADERS + 1 or hot[at]:
+            own = slice(at, at + length)
+            number = int(keys[at]) if hot[at] else (bucket + 1) << 32 | int(keys[at])
+            known = merged.setdefault((number if hot[at] else 0, sig[own].tobytes()), [number, own, place[own]])
+            known[2] = np.minimum(known[2], place[own])
+    lists = [np.empty((0, 4), dtype=np.int64)]
+    for number, own, places in merged.values():
+        lists.append(np.stack([sig[own], np.full(len(places), number), n[own], places], axis=1))
+    members = np.concatenate(lists)
+    k, m = len(pairs), len(members)
+    masked = lambda values, absent: pa.array(values, mask=absent)
+    is_pair = np.arange(k + m) < k
+    none = np.zeros(k, dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate((pairs[:, 0], members[:, 0]))), masked(np.concatenate((pairs[:, 1], np.zeros(m, dtype=np.int64))), ~is_pair),
+        *(masked(np.concatenate((none, members[:, c])), is_pair) for c in (1, 2, 3)),
+    ], schema=_PAIR_ARROW)
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that pass the bound of sizes and parity sketches."""
-    side = lambda x: sets.select(F.col("sig").alias(x), F.struct("n", "parity").alias(f"_{x}"))
-    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    return both.filter(_parity_passes("_a", "_b")).select("a", "b")
+    """Distinct pairs (a, b), differ that pass the bound of sizes and parity sketches: the sketches' difference, never more
+    than the sets', leaves the threshold in reach."""
+    side = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
+
+    def near(a: list[int], b: list[int], na: list[int], nb: list[int], pa: list[bytes], pb: list[bytes]) -> dict:
+        out = {"a": [], "b": [], "differ": []}
+        for x, y, n, m, p, q in zip(a, b, na, nb, pa, pb):
+            words = min(len(p), len(q)) // 8
+            differ = int(np.bitwise_count(_folded(np.frombuffer(p, np.uint64), words) ^ _folded(np.frombuffer(q, np.uint64), words)).sum())
+            if 7 * differ <= n + m:  # |A| + |B| - 2 i <= (|A| + |B|) / 7 at the threshold
+                for k, v in zip(out, (x, y, differ)):
+                    out[k].append(v)
+        return out
 
+    return map_rows(both, ["a", "b", "na", "nb", "pa", "pb"], near, "a long, b long, differ long")
 
-def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets reach the threshold.
 
-    One text of each set in question is read again and travels compressed, which is less than its hashes; a pair
-    carries b's text to a's, and the sets are compared there.
-    """
-    wanted = shared_checkpoint(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", "rep._id", "rep._hash"), "sig"))
-    # the text must be the one with this set: a doc_id may have several rows, and many rows may have none
-    texts = semi_join(rows.select("text", *_row_key()), wanted, ["_id", "_hash"])
+def _texts(sigs: DataFrame, rows: DataFrame, sets: DataFrame, collided: frozenset[int]) -> DataFrame:
+    """sig and z, one text of each set compressed, which is less than its hashes.
+
+    Up to ``BROADCAST_SETS`` sets' row keys are broadcast; more are joined, and a filter of fixed size keeps most other texts from moving."""
+    key = ["_id", "_hash"]
+    wanted = shared_checkpoint(sigs.distinct().join(sets.select("sig", "rep._id", "rep._hash"), "sig"))
+    keyed = rows.select("text", *_row_key())
+    if wanted.count() <= BROADCAST_SETS:
+        found = keyed.join(F.broadcast(wanted), key)
+    else:
+        found = may_be_in(keyed, key, filter_of(wanted, key)).filter("_in").drop("_in").join(wanted, key)
 
     def squeeze(sigs: list[int], texts: list[str]) -> dict:
         tool = zstandard.ZstdCompressor(level=3)
-        good = [(s, tool.compress(t.encode())) for s, t in zip(sigs, texts) if set_identity(shingle_set(t)) == s]
+        # the text must be the one with this set: a doc_id may have several rows, and many rows may have none
+        good = [(s, tool.compress(t.encode())) for s, t in zip(sigs, texts) if _identity(shingle_set(t), collided) == s]
         return {"sig": [g[0] for g in good], "z": [g[1] for g in good]}
 
-    squeezed = map_rows(texts, ["sig", "text"], squeeze, "sig long, z binary").groupBy("sig").agg(F.first("z").alias("z"))
-    squeezed = shared_checkpoint(squeezed)
-    side = lambda x: squeezed.select(F.col("sig").alias(x), F.col("z").alias(f"z{x}"))
+    return map_rows(found, ["sig", "text"], squeeze, "sig long, z binary").groupBy("sig").agg(F.first("z").alias("z"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, collided: frozenset[int]) -> DataFrame:
+    """The pairs whose whole sets reach the threshold."""
+    # dealt by sig once for both joins, so that of each pair only b's text moves again
+    texts = _texts(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), rows, sets, collided)
+    side = lambda x: texts.select(F.col("sig").alias(x), F.col("z").alias(f"z{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def compare(a: list[int], b: list[int], za: list[bytes], zb: list[bytes]) -> dict:
@@ -313,46 +350,149 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
                 out["b"].append(y)
         return out
 
-    return map_rows(both, ["a", "b", "za", "zb"], compare, "a long, b long")
+    return shared_checkpoint(map_rows(both, ["a", "b", "za", "zb"], compare, "a long, b long"))
+
+
+def _compare_blocks(nearest: bool):
+    """(a, b, differ): sets outside their list's largest component, each with those of other components that bounds and
+    sketches do not refute, the nearest one or all."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        number = lambda name: table.column(name).to_numpy()
+        sig, n, place, comp = (number(c) for c in ("sig", "n", "place", "component"))
+        raw = table.column("parity").to_pylist()
+        words = np.array([len(p) // 8 for p in raw])
+        row = np.empty(len(raw), dtype=np.int64)  # its row in the matrix of sketches of its length
+        parity = {}
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words == w)
+            row[own] = np.arange(len(own))
+            parity[w] = {w: np.frombuffer(b"".join(raw[k] for k in own), np.uint64).reshape(-1, w)}
+        del raw
+
+        def sketches(w: int, folded: int) -> np.ndarray:
+            if folded not in parity[w]:
+                parity[w][folded] = _folded(parity[w][w], folded)
+            return parity[w][folded]
+
+        block = np.stack([number("list"), number("ob"), number("mb")])
+        order = np.lexsort(block)
+        edges = np.flatnonzero((np.diff(block[:, order], axis=1) != 0).any(axis=0)) + 1
+        outside = number("outside")
+        found = [np.empty((0, 3), dtype=np.int64)]
+        for part in np.split(order, edges):
+            every = part[outside[part] == 0]
+            for o in part[outside[part] == 1].tolist():
+                other = every[(comp[every] != comp[o]) & _passes(n[o], place[o], n[every], place[every])]
+                if not len(other):
+                    continue
+                differ = np.empty(len(other), dtype=np.int64)
+                for w in np.unique(words[other]).tolist():
+                    at, low = np.flatnonzero(words[other] == w), min(w, int(words[o]))
+                    differ[at] = np.bitwise_count(sketches(w, low)[row[other[at]]] ^ sketches(int(words[o]), low)[row[o]]).sum(axis=1, dtype=np.int64)
+                ok = np.flatnonzero(7 * differ <= n[o] + n[other])
+                if len(ok):
+                    ok = ok[np.argmin(differ[ok])][None] if nearest else ok
+                    found.append(np.stack([np.full(len(ok), sig[o]), sig[other[ok]], differ[ok]], axis=1))
+        rows = np.unique(np.concatenate(found), axis=0)
+        if nearest:  # of all lists here
+            rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+            rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
+        yield pa.RecordBatch.from_pydict({"a": rows[:, 0], "b": rows[:, 1], "differ": rows[:, 2]}, schema=_APART)
+
+    return run
+
+
+_APART = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("differ", pa.int64())])
+
+
+def _nearest(pairs: DataFrame, of: str) -> DataFrame:
+    """Of each set in column of, the pair that differs least."""
+    other = "a" if of == "b" else "b"
+    return pairs.groupBy(of).agg(F.min(F.struct("differ", other)).alias("_m")).select(of, f"_m.{other}", "_m.differ").select("a", "b", "differ")
+
+
+def _crossing(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs whose sets lie in different components so far."""
+    side = lambda x: of.select(F.col("sig").alias(x), F.col("component").alias(f"_c{x}"))
+    known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return known.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b", "differ")
+
+
+def _apart(members: DataFrame, of: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame | None:
+    """Pairs to verify of lists that lie in several components; None without such lists.  A list is cut into blocks: of its sets outside the
+    largest component by all of its sets, so no task holds a whole long list."""
+    known = members.join(of, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    shares = known.groupBy("list", "component").agg(F.count(F.lit(1)).alias("k"))
+    mixed = shares.groupBy("list").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all")).filter("all > top.k")
+    blocks = lambda rows, size: F.ceil(rows / size).cast("int")
+    mixed = shared_checkpoint(mixed.select("list", F.col("top.component").alias("main"), blocks(F.col("all") - F.col("top.k"), BLOCK_OUTSIDE).alias("_ob"), blocks(F.col("all"), BLOCK_ALL).alias("_mb"), "all"))
+    rows = mixed.agg(F.sum(F.col("all") * F.col("_ob"))).first()[0]
+    if not rows:
+        return None
+    left = known.join(mixed, "list").join(sets.select("sig", "parity"), "sig").withColumn("_h", F.xxhash64("sig"))
+    every = F.transform(F.sequence(F.lit(0), F.col("_ob") - 1), lambda k: F.struct(k.alias("ob"), F.pmod("_h", "_mb").cast("int").alias("mb"), F.lit(0).alias("outside")))
+    alone = F.transform(F.sequence(F.lit(0), F.col("_mb") - 1), lambda k: F.struct(F.pmod("_h", "_ob").cast("int").alias("ob"), k.alias("mb"), F.lit(1).alias("outside")))
+    none = F.slice(alone, F.lit(1), F.lit(0))
+    dealt = left.select("list", "sig", "n", "place", "component", "parity", F.explode(F.concat(every, F.when(F.col("component") != F.col("main"), alone).otherwise(none))).alias("_b")).select("*", "_b.*").drop("_b")
+    buckets = max(LEAST_BUCKETS, math.ceil(2 * rows / ROWS_A_BLOCK_BUCKET))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("list", "ob", "mb"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(_compare_blocks(nearest), "a long, b long, differ long")
+
+
+def _edges(of: DataFrame) -> DataFrame:
+    return of.select(F.col("sig").alias("u"), F.col("component").alias("v"))
 
 
-def _cross_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of one long list whose sets lie in different components so far and pass the bounds."""
-    of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = members.join(of.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).filter("_l != _h").select("key")
-    left = known.join(mixed, "key")
-    x, y = left.alias("x"), left.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    ahead = F.least(F.col("x.n") - F.greatest("x.place", F.lit(0)), F.col("y.n") - F.greatest("y.place", F.lit(0)))
-    bounds = (4 * small >= 3 * large) & ((F.col("x.place") < 0) | (7 * ahead >= 3 * (F.col("x.n") + F.col("y.n"))))
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & bounds).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+def _joined(links: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """sig and component of all sets that links, and the components so far, join."""
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return shared_checkpoint(components(edges if of is None else edges.union(_edges(of))).withColumnRenamed("node", "sig"))
 
 
-def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): sets has doc_id, text hash, n and sig of each row, equal sets sharing a sig; links has pairs of sigs that
-    reach the threshold, enough to join every component, both checkpointed."""
+def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(own, of): own has doc_id, text hash, n and sig of each row, equal sets sharing a sig; of has the component of each sig
+    that links to another, both checkpointed."""
     rows = id_text(docs)
     summaries = shared_checkpoint(_summaries(rows))
-    own = summaries.filter("block is null").select("doc_id", "_hash", "n", "sig", "parity")
+    own = summaries.filter("block is null").select("doc_id", "_hash", "n", "sig", "chk", "parity")
+    # two sets with one 64-bit identity: none, or a few in 10 ** 10
+    double = own.filter("n > 0").groupBy("sig").agg(F.min("chk").alias("_l"), F.max("chk").alias("_h")).filter("_l != _h").select("sig")
+    collided = frozenset(r["sig"] for r in double.toLocalIterator())
+    if collided:
+        own = own.withColumn("sig", F.when(F.col("sig").isin(list(collided)), F.col("chk")).otherwise(F.col("sig")))
     sets = own.filter("n > 0").groupBy("sig").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(TOP)).alias("_id"), "_hash")).alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     sizes = {r["s"]: (r["k"], r["e"]) for r in sets.groupBy(F.least("n", F.lit(2 * LARGEST_BOUNDARY)).alias("s")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1).alias("e")).collect()}
     levels, hot = _levels(summaries)
     boundary = choose_boundary({s: k for s, (k, _) in sizes.items()})
-    buckets = max(64, math.ceil(sum(e for _, e in sizes.values()) / ENTRIES_A_BUCKET))
-    lists = _lists(rows, levels, hot, boundary, buckets)
-    found = shared_checkpoint(lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_pairs(SMALL_LIST), _PAIR_SCHEMA))
-    # the least sets of one element's buckets meet here
-    leads = found.filter("key is not null").select("key", "lead").distinct()
-    tops = leads.groupBy("key").agg(F.min("lead").alias("a"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-    across = leads.join(tops, "key").filter("lead != a").select("a", F.col("lead").alias("b"))
-    first = shared_checkpoint(_plausible(found.filter("key is null").select("a", "b").union(across), sets))
-    links = shared_checkpoint(_verified(first, rows, sets))
-    members = found.filter("key is not null").select("key", F.col("a").alias("sig"), "n", "place").distinct()
-    second = shared_checkpoint(_plausible(_cross_pairs(members, links).join(first, ["a", "b"], "left_anti"), sets))
-    if second.isEmpty():
-        return own, links
-    return own, links.union(shared_checkpoint(_verified(second, rows, sets)))
+    buckets = max(LEAST_BUCKETS, math.ceil(sum(e for _, e in sizes.values()) / ENTRIES_A_BUCKET))
+    lists = _lists(rows, levels, hot, boundary, buckets, collided)
+    found = shared_checkpoint(lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_pairs, _PAIR_SCHEMA))
+    members = found.filter("list is not null").select("list", F.col("a").alias("sig"), "n", "place")
+    pairs = found.filter("list is null").select("a", "b")
+    if any(hot <= level for level in np.unique(levels)):  # the parts of hot lists meet in their least sets
+        tops = members.filter(F.col("list") < 1 << 32).groupBy("list").agg(F.min("sig").alias("a"))
+        pairs = pairs.union(members.join(tops, "list").filter("sig != a").select("a", F.col("sig").alias("b")))
+    sets = shared_checkpoint(members.select("sig").union(pairs.select("a")).union(pairs.select("b")).distinct().join(sets, "sig"))  # the others link to nothing
+    pool = shared_checkpoint(_plausible(pairs, sets))
+    tested = shared_checkpoint(_nearest(pool, "b").select("a", "b"))  # joins most of a group of near copies, one text a set
+    of = _joined(_verified(tested, rows, sets, collided))
+    ordered = lambda found: found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for nearest in (True, False):
+        left = _crossing(pool.join(tested, ["a", "b"], "left_anti"), of)
+        apart = _apart(members, of, sets, nearest)
+        if nearest:
+            left = _nearest(left, "b")
+            apart = None if apart is None else _nearest(apart, "a")
+        left = ordered(left if apart is None else left.union(apart))
+        more = shared_checkpoint(left.join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            of = _joined(_verified(more, rows, sets, collided), of)
+            tested = tested.union(more)
+        elif apart is None:
+            break
+    return own.select("doc_id", "_hash", "n", "sig"), of
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -363,9 +503,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id takes part; its component is the least id that is not null, or null.  An empty table gives no rows; other
     columns are ignored.
     """
-    own, links = jaccard_links(docs)
-    of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "sig", "component": "_c"})
-    placed = own.filter("n > 0").select("doc_id", "n", "sig").join(of, "sig", "left").withColumn("_c", F.coalesce("_c", "sig"))
+    own, of = jaccard_classes(docs)
+    placed = own.filter("n > 0").select("doc_id", "n", "sig").join(of.withColumnRenamed("component", "_c"), "sig", "left").withColumn("_c", F.coalesce("_c", "sig"))
     least = placed.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
     linked = placed.join(least, "_c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
@@ -374,17 +513,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of linked rows: the least doc_id's (null counts above all), one of equals.
 
-    Other rows that repeat a doc_id, or have none, are judged by their own texts.  Rows without words, null or empty, all stay.  All columns are kept.
+    Other rows that repeat a doc_id, or have none, are judged by their own texts.  Rows without words, null or empty, all stay.  All columns are
+    kept, whatever their names.
     """
-    own, links = jaccard_links(docs)
-    of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "sig", "component": "_c"})
-    placed = own.filter("n > 0").select(F.coalesce("doc_id", F.lit(TOP)).alias("_id"), "_hash", "sig").join(of, "sig", "left").withColumn("_c", F.coalesce("_c", "sig"))
+    own, of = jaccard_classes(docs)
+    placed = own.filter("n > 0").select(F.coalesce("doc_id", F.lit(TOP)).alias("_id"), "_hash", "sig").join(of.withColumnRenamed("component", "_c"), "sig", "left").withColumn("_c", F.coalesce("_c", "sig"))
     rows = placed.groupBy("_c", "_id", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
     least = rows.groupBy("_c").agg(F.min(F.struct("_id", "_hash")).alias("_least"), F.sum("_rows").alias("_k")).filter("_k > 1")
     grouped = shared_checkpoint(rows.join(least, "_c").select("_id", "_hash", "_rows", (F.struct("_id", "_hash") == F.col("_least")).alias("_stays")))
-    keyed = docs.select("*", *_row_key())
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *_row_key())
     kept = anti_join(keyed, grouped.filter("not _stays").select("_id", "_hash"), ["_id", "_hash"])
-    return _one_of_equal_rows(kept, grouped.filter("_stays and _rows > 1").select("_id", "_hash")).drop("_id", "_hash")
+    return _one_of_equal_rows(kept, grouped.filter("_stays and _rows > 1").select("_id", "_hash")).select("_row.*")
 
 
 def _one_of_equal_rows(rows: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -392,8 +531,7 @@ def _one_of_equal_rows(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return rows
     key = ["_id", "_hash"]
-    columns = [c for c in rows.columns if c not in key]
-    one = rows.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*", *key)
+    one = rows.join(repeated, key, "left_semi").groupBy(*key).agg(F.min("_row").alias("_row"))
     return rows.join(repeated, key, "left_anti").unionByName(one)
 
 

@@ -1,12 +1,13 @@
-"""A bit filter of a fixed size that keeps rows out of an exchange.
+"""A bit filter that keeps rows out of an exchange.
 
-It has no false negatives: a row it refuses is surely not among the keys.  Its size does not grow with the data;
-past some ten million keys it lets most rows through, and the join that follows gives the same result at the cost
-of moving them.
+It has no false negatives: a row it refuses is surely not among the keys.  Its size follows the number of keys, 16
+bits each, between 2 ** LEAST and 2 ** MOST bits (32 MB).  Past some 100 million keys it lets more and more rows
+through, and the join that follows gives the same result at the cost of moving them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 26
+LEAST, MOST = 20, 28
 _BLOCK = 1 << 16
 
 
-def _place(columns: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << BITS))
+def place_of(columns: list[str], bits: np.ndarray) -> Column:
+    """Where the filter has a row's bit."""
+    return F.pmod(F.xxhash64(*columns), F.lit(8 * len(bits)))
 
 
 def filter_of(rows: DataFrame, columns: list[str]) -> np.ndarray:
-    """2 ** BITS bits (8 MB) over the hashes of the columns.  Blocks of bits are gathered by Spark and meet at the driver."""
+    """The filter of the rows' columns.  Blocks of bits are gathered by Spark and meet at the driver; rows is read twice."""
 
     def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(_BLOCK, dtype=np.uint8)
@@ -32,9 +34,10 @@ def filter_of(rows: DataFrame, columns: list[str]) -> np.ndarray:
             bits[b.column("at").to_numpy()] = 1
         yield pa.RecordBatch.from_pydict({"block": [key[0].as_py()], "bits": [np.packbits(bits).tobytes()]}, schema=pa.schema([("block", pa.int64()), ("bits", pa.binary())]))
 
-    place = _place(columns)
+    size = min(MOST, max(LEAST, math.ceil(math.log2(16 * max(1, rows.count())))))
+    out = np.zeros((1 << size) // 8, dtype=np.uint8)
+    place = place_of(columns, out)
     parts = rows.select(F.floor(place / _BLOCK).alias("block"), F.pmod(place, F.lit(_BLOCK)).alias("at")).distinct().groupBy("block").applyInArrow(gather, "block long, bits binary").toLocalIterator()
-    out = np.zeros((1 << BITS) // 8, dtype=np.uint8)
     for r in parts:
         out[r["block"] * _BLOCK // 8 : (r["block"] + 1) * _BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -49,12 +52,7 @@ def may_be_in(rows: DataFrame, columns: list[str], bits: np.ndarray) -> DataFram
         a = at.to_numpy()
         return pd.Series((shared.value[a >> 3] >> (7 - (a & 7)) & 1).astype(bool))
 
-    return rows.withColumn("_in", has(_place(columns)))
-
-
-def semi_join(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    """rows joined with keys (unique in the columns), of which only rows that pass the filter move."""
-    return may_be_in(rows, columns, filter_of(keys, columns)).filter("_in").drop("_in").join(keys, columns)
+    return rows.withColumn("_in", has(place_of(columns, bits)))
 
 
 def anti_join(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:

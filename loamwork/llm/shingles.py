@@ -79,9 +79,16 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(mix(s + _U(width)))
 
 
-def set_identity(s: np.ndarray) -> int:
-    """A signed 64-bit hash of a set and its size."""
+def set_identities(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set and its size, from sums over different mixes of its elements."""
     if not len(s):
-        return 0
-    spread = mix(np.array([np.add.reduce(mix(s ^ _STEP)) ^ np.bitwise_xor.reduce(mix(s + _BASE)) + _U(len(s))], dtype=np.uint64))
-    return int(spread.view(np.int64)[0])
+        return 0, 0
+    one, two = mix(s ^ _STEP), mix(s + _BASE)
+    n = np.array([len(s)], dtype=np.uint64)
+    first = np.add.reduce(one) ^ np.bitwise_xor.reduce(two) + n
+    second = np.add.reduce(two ^ one >> _U(7)) + n * _STEP
+    return tuple(mix(np.concatenate([first, second])).view(np.int64).tolist())
+
+
+def set_identity(s: np.ndarray) -> int:
+    return set_identities(s)[0]

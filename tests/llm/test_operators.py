@@ -89,8 +89,16 @@ def test_mixing(spark, odd):
         copies[r["doc_id"]].append(r["copy"])
     assert sorted(copies[3]) == sorted(2 * list(range(1, max(copies[3], default=0) + 1)))
     assert mixing.replicate(odd.limit(0)).count() == 0 and mixing.poisson_steps(0.0) == []
-    with pytest.raises(ValueError):
-        mixing.poisson_steps(1e9)
+
+
+def test_mixing_refuses_no_rate(spark):
+    """One document that should make up a tenth of 200,000 rows: its draw is a sum of draws."""
+    rows = spark.range(0, 200_000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "one").otherwise("many").alias("source"))
+    out = mixing.replicate(rows, {"one": 0.1}, 0.9)
+    n = out.filter("source = 'one'").count()
+    assert abs(n - 20_000) < 6 * 20_000**0.5 and out.filter("source = 'one'").select("copy").distinct().count() == n
+    steps = mixing.poisson_steps(mixing.MAX_RATE)
+    assert steps[-1] > 1 - 1e-9 and abs(sum(1 - s for s in steps) - mixing.MAX_RATE) < 0.01
 
 
 # --- 3 --------------------------------------------------------------------------------------------------------
@@ -226,6 +234,11 @@ def test_language(spark):
     assert (und, score, none) == ("und", 0.0, [])
 
 
+def test_words_are_letters_alone():
+    assert language.words_of("½ ② 12 Ⅷ ¼") == [] and language.words_of("a½b ②c Ⅷd ªº ñé漢 x_y 3z") == ["a", "b", "c", "d", "ªº", "ñé漢", "x", "y", "z"]
+    assert all(bool(language.words_of(chr(c))) == chr(c).lower()[0].isalpha() for c in range(0x3000) if not 0xD800 <= c < 0xE000)
+
+
 def test_viterbi_and_its_shortcut():
     rng = np.random.default_rng(1)
     model = language.LanguageModel(["a", "b", "c"], None, None, 4, 3.0)
@@ -297,6 +310,19 @@ def test_glued_tokens(spark):
     assert all(sum(a <= c and d <= b for c, d in found) == 1 for found in spans.values() for a, b in found)
 
 
+def test_many_secrets_in_one_text(spark):
+    """More spans than a block holds, in blocks of which the first and last differ in size; other rows keep their columns."""
+    text = " ".join(f"é{k} password: secret{k:05d} {'deadbeef' * 4}" for k in range(1500))
+    rows = [(1, text, "k", "s", 1), (1, text, "k", "s", 1), (2, "token=abcdefg" * 70, None, None, None), (3, None, "k", "s", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _known string, _spans string, at int")
+    got = secrets.find_secrets(frame).collect()
+    assert all([(s["start"], s["kind"], s["end"]) for s in r["spans"] if s["kind"] < 3] == known(dict((x[0], x[1]) for x in rows)[r["doc_id"]]) for r in got) and len(got) == 4
+    out = [tuple(r) for r in secrets.redact(frame).collect()]
+    want = re.sub(r"password: secret\d{5}|(?:deadbeef){4}", "[SECRET]", text)
+    assert sorted(out, key=str)[:2] == [(1, want, "k", "s", 1)] * 2 and (3, None, "k", "s", 0) in out
+    assert secrets.find_secrets(frame.limit(0)).count() == 0
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(i, t, len(t or "")) for i, t in SECRETS], "doc_id long, text string, n_chars int")
     out = {r["doc_id"]: r for r in secrets.redact(frame).collect()}
@@ -306,6 +332,11 @@ def test_redaction(spark):
 
 
 # --- 10 -------------------------------------------------------------------------------------------------------
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAST_BUCKETS", 4)
+
+
 def linked(rows):
     sets = [shingle_tuples(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -340,10 +371,13 @@ def near_copies(n=60, seed=0):
     return rows
 
 
-@pytest.mark.parametrize("small,hot,boundary", [(48, 200_000, None), (2, 3, None), (2, 3, 10), (48, 200_000, 0)])
-def test_jaccard_join(spark, monkeypatch, small, hot, boundary):
-    monkeypatch.setattr(jaccard_join, "SMALL_LIST", small)
+@pytest.mark.parametrize("leaders,block,hot,boundary", [(2, 1000, 200_000, None), (1, 3, 3, None), (2, 3, 3, 10), (1, 1000, 200_000, 0)])
+def test_jaccard_join(spark, monkeypatch, leaders, block, hot, boundary):
+    monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard_join, "BLOCK_OUTSIDE", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ALL", block + 2)
     monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_SETS", 1 << 19 if leaders == 2 else 0)
     if boundary is not None:
         monkeypatch.setattr(jaccard_join, "choose_boundary", lambda sizes: boundary)
     rows = near_copies() + [(500, "a b c d e f g h"), (501, "A B c d e f g h i"), (502, "a b"), (503, "a B"), (504, ""), (505, None), (505, "a b"), (None, "x y z"), (506, "x y z")]
@@ -351,9 +385,9 @@ def test_jaccard_join(spark, monkeypatch, small, hot, boundary):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == linked(rows)
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_jaccard_join_of_null_ids(spark, monkeypatch, small):
-    monkeypatch.setattr(jaccard_join, "SMALL_LIST", small)
+@pytest.mark.parametrize("leaders", [1, 2])
+def test_jaccard_join_of_null_ids(spark, monkeypatch, leaders):
+    monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
     w = [f"w{k}" for k in range(40)]
     bridge = [(10, " ".join(w)), (None, " ".join(w[3:] + ["a", "b", "c"])), (11, " ".join(w[6:] + ["a", "b", "c", "d", "e", "f"]))]
     assert linked(bridge) != linked([bridge[0], bridge[2]]) and {c for _, _, c in linked(bridge)} == {10} and len({c for _, _, c in linked([bridge[0], bridge[2]])}) == 2
@@ -364,6 +398,39 @@ def test_jaccard_join_of_null_ids(spark, monkeypatch, small):
     assert [tuple(r) for r in kept.collect()] == [bridge[0]]
 
 
+def test_jaccard_join_of_sets_around_the_threshold(spark, monkeypatch):
+    """Near copies of which about half link to each other, a passage they share with others, and one identity for two sets."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for _ in range(60):
+        v = list(base)
+        for k in rng.integers(0, 120, int(rng.integers(1, 5))):
+            v[k] = f"n{rng.integers(10**9)}"
+        rows.append((len(rows), " ".join(v)))
+    rows += [(len(rows) + k, " ".join(base[:40] + [f"o{k}x{j}" for j in range(int(rng.integers(8, 60)))])) for k in range(40)]
+    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK_OUTSIDE", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ALL", 7)
+    want = sorted(linked(rows))
+    assert 3 < len({c for _, _, c in want}) < len(rows)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
+
+
+def test_colliding_identities():
+    a, b = (shingles.shingle_set(t) for t in ("a b c d e f", "g h i j k l"))
+    one, two = shingles.set_identities(a), shingles.set_identities(b)
+    assert len({*one, *two}) == 4 and jaccard_join._identity(a, frozenset()) == one[0] and jaccard_join._identity(a, frozenset([one[0]])) == one[1]
+
+
+def test_jaccard_join_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 7, True, 9), (2, "a b c d e f g", 8, False, 9), (3, "other words that stand here alone", None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id long, _in boolean, sig long")
+    assert sorted(map(tuple, jaccard_join.drop_near_duplicates(frame).collect())) == [rows[0], rows[2]]
+    assert sorted(map(tuple, jaccard_join.jaccard_components(frame).collect())) == [(1, 3, 1), (2, 3, 1), (3, 2, 3)]
+
+
 def test_jaccard_join_on_the_table(docs, texts, odd):
     got = jaccard_join.jaccard_components(docs).collect()
     assert sorted((tuple(r) for r in got), key=str) == linked(list(texts.items()))

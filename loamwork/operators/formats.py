@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions.text import first_truthy
 from loamwork.functions.urls import base_name, file_extension
+from loamwork.operators.sample import place_by_number
 
 # Names of roles in chats, and what they become.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -83,9 +84,9 @@ def llava(df: DataFrame) -> DataFrame:
 
 
 def first_seen_ids(df: DataFrame, key: str, order: str, name: str, start: int) -> DataFrame:
-    """A dense id for each key in order of first sight.  The ranking is over distinct keys alone."""
+    """A dense id for each key in order of first sight, order being a number.  The ranking is over distinct keys alone."""
     firsts = df.groupBy(key).agg(F.min(order).alias("_first"))
-    return firsts.withColumn(name, F.row_number().over(W.orderBy("_first")) + (start - 1)).drop("_first")
+    return place_by_number(firsts, F.col("_first"), name).withColumn(name, F.col(name).cast("int") + start).drop("_first")
 
 
 def coco(df: DataFrame, order: str, image: str = "image", label: str = "label", box: str = "bbox") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as T
 from loamwork.functions import urls as U
+from loamwork.operators.sample import place_by_number
 
 # Parts of names that mark an asset as junk, and extensions that do.
 JUNK = [
@@ -61,11 +62,13 @@ def asset_context(alt: Column, text: Column, title: Column, around: int = 200) -
 
 
 def merge_manifests(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Upsert: the newest row of each key at the place where the key first stood, ids renumbered."""
+    """Upsert: the newest row of each key at the place where the key first stood (by the number order), ids renumbered."""
     both = old.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)), allowMissingColumns=True)
     w = W.partitionBy(key)
     latest = both.withColumn("_first", F.min(F.struct("_src", order)).over(w)).withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_src"), F.desc(order)))).filter("_rank = 1")
-    return latest.withColumn("asset_id", F.concat(F.lit("asset_"), F.row_number().over(W.orderBy("_first")).cast("string"))).drop("_first", "_rank", "_src")
+    firsts = latest.withColumns({"_from": F.col("_first._src"), "_at": F.col("_first").getField(order)}).drop("_first", "_rank", "_src")
+    placed = place_by_number(firsts, F.col("_at"), "_place", major=F.col("_from"))
+    return placed.withColumn("asset_id", F.concat(F.lit("asset_"), (F.col("_place") + 1).cast("string"))).drop("_from", "_at", "_place")
 
 
 def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

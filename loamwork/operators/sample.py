@@ -31,6 +31,23 @@ def place(df: DataFrame, key: Column, name: str = "_place", by: list[str] | None
     return joined.withColumn(name, F.col("_before") + rank - 1).drop("_key", "_bucket", "_before")
 
 
+def place_by_number(df: DataFrame, number: Column, name: str = "_place", then: list[Column] | None = None, major: Column | None = None) -> DataFrame:
+    """df with each row's place (from 0) in the order of major, number and then; nulls first.
+
+    Buckets are ranges of the numbers between approximate quantiles, about as many rows each, so no task sorts the table;
+    a table of the buckets' counts, which are set by spark.sql.shuffle.partitions, gives what stands before each.
+    """
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_number", number).withColumn("_major", major if major is not None else F.lit(0))
+    cuts = sorted(set(rows.select(F.col("_number").cast("double").alias("x")).approxQuantile("x", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col("_number"))) if cuts else F.lit(0)
+    rows = rows.withColumn("_bucket", F.when(F.col("_number").isNull(), -1).otherwise(at))
+    sizes = rows.groupBy("_major", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_major", "_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    rank = F.row_number().over(W.partitionBy("_major", "_bucket").orderBy("_number", *(then or [])))
+    return rows.join(F.broadcast(before), ["_major", "_bucket"]).withColumn(name, F.col("_before") + rank - 1).drop("_number", "_major", "_bucket", "_before")
+
+
 def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
     cond = None
@@ -56,11 +73,14 @@ def parse_ratios(text: str) -> tuple[float, float, float]:
     return out
 
 
-def split(df: DataFrame, order: Column, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), by: list[str] | None = None) -> DataFrame:
-    """df with split: floor(n * train) rows of train, floor(n * validation) of validation, the rest test, by the order."""
+def split(df: DataFrame, order: Column, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), by: list[str] | None = None, numeric: bool = False) -> DataFrame:
+    """df with split: floor(n * train) rows of train, floor(n * validation) of validation, the rest test, by the order: a
+    hexadecimal key, or a number."""
     check_ratios(ratios)
     by = by or []
-    placed = place(df, order, by=by)
+    if numeric and by:
+        raise ValueError("classes are split by a hexadecimal key")
+    placed = place_by_number(df, order) if numeric else place(df, order, by=by)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
     joined = _null_safe(placed, sizes, by) if by else placed.join(F.broadcast(sizes), F.lit(True))
     train = F.floor(F.col("_total") * F.lit(float(ratios[0])))
@@ -79,6 +99,13 @@ def sample(df: DataFrame, n: int, key: Column, seed: int | str) -> DataFrame:
     return df.orderBy(hash_order(key, seed)).limit(n)
 
 
+def evenly_spaced(df: DataFrame, number: Column, n: int) -> DataFrame:
+    """The rows at floor(i * rows / n) in the order of a number, for i from 0 to n - 1."""
+    total = df.count()
+    at = df.sparkSession.range(n).select(F.floor(F.col("id") * F.lit(total) / F.lit(float(n))).alias("_place")).distinct()
+    return place_by_number(df, number).join(F.broadcast(at), "_place").drop("_place")
+
+
 def sample_stratified(df: DataFrame, stratum: str, n: int, key: Column, seed: int | str, allocation: str = "equal") -> DataFrame:
     """equal: n / groups rows of each group, one more of the first n % groups (by value), at most all, nothing moved
     on; proportional: each group's share of n, rounded down."""

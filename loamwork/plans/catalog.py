@@ -408,7 +408,7 @@ def _(d):
 
 @query("split_ordered", "SELECT doc_id, CASE WHEN p < floor(n * 0.5::DOUBLE) THEN 'train' WHEN p < floor(n * 0.5::DOUBLE) + floor(n * 0.3::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents)", DOCS)
 def _(d):
-    return S.split(d.select("doc_id"), F.lpad(c("doc_id").cast("string"), 20, "0"), (0.5, 0.3, 0.2))
+    return S.split(d.select("doc_id"), c("doc_id"), (0.5, 0.3, 0.2), numeric=True)
 
 
 query("split_xorshift", None, DOCS)(lambda d: S.split_compatible(d.select("doc_id"), [c("doc_id")], SEED))
@@ -436,9 +436,7 @@ def _(d):
 
 @query("evenly_spaced_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) WHERE p IN (SELECT floor(i * (SELECT count(*) FROM documents) / 50.0::DOUBLE) FROM range(50) r(i))", DOCS)
 def _(d):
-    n = d.count()
-    at = d.sparkSession.range(50).select(F.floor(c("id") * F.lit(n) / F.lit(50.0)).alias("_place")).distinct()
-    return S.place(d.select("doc_id"), F.lpad(c("doc_id").cast("string"), 20, "0"), digits=17).join(F.broadcast(at), "_place").select("doc_id")
+    return S.evenly_spaced(d.select("doc_id"), c("doc_id"), 50)
 
 
 @query("browse_search_sort_page", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE contains(lower(c_custkey::VARCHAR), '1') OR contains(lower(c_name), '1') OR contains(lower(c_mktsegment), '1') ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 25 OFFSET 25", "customer")

@@ -8,9 +8,9 @@ import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamwork.operators.sample import place_by_number
 from loamwork.sources.html import html_records
 
 EXTENSIONS = {"csv": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "xml": "xml", "xlsx": "xlsx", "txt": "txt", "html": "html", "htm": "html", "parquet": "parquet"}
@@ -67,7 +67,7 @@ def read_any(spark: SparkSession, path: str, kind: str = "auto", delimiter: str
         return spark.read.format("xml").option("rowTag", row_tag).load(path)
     if kind == "txt":
         lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("_row", F.monotonically_increasing_id())
-        return lines.select(F.row_number().over(W.orderBy("_row")).alias("line"), F.trim("value").alias("text"))
+        return place_by_number(lines, F.col("_row")).select((F.col("_place") + 1).cast("int").alias("line"), F.trim("value").alias("text"))
     if kind == "html":
         pages = spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("page_id"), F.col("value").alias("html"))
         return html_records(pages)

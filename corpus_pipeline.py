@@ -25,24 +25,34 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the rows that score 0.7 or more.  A null text is scored as the empty one; repeated rows are judged alike, one by
+    one; an empty table stays empty; columns beyond those of documents go."""
     model = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
     bounded_batches(spark)
     return docs.select(*COLUMNS).withColumn("_score", toxicity.score(F.col("text"), model)).filter("_score < 0.7").drop("_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one row of each group of linked rows, the least doc_id's (null counts above all).  Null and empty texts, and texts
+    without words, all stay; an empty table stays empty; columns beyond those of documents go."""
     return jaccard_join.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows of docs, with secrets in text replaced and n_chars as the text then has.  A null text stays null; repeated rows all
+    stay; an empty table stays empty; columns beyond those of documents go."""
     return secrets.redact(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs as often as their draws say.  A null source belongs to the rest, a null doc_id draws as the text "null", null
+    texts are carried along; repeated rows draw alike; an empty table stays empty; columns beyond those of documents go."""
     return mixing.replicate(docs.select(*COLUMNS)).drop("copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row of docs, with its token ids.  A null or empty text gives one piece, the end id; repeated rows
+    are packed each for itself; an empty table gives no rows; other columns go."""
     return packing.pack_documents(docs)
 
 

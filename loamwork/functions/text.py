@@ -18,29 +18,54 @@ TAG_STOP_WORDS = [
     "take", "than", "them", "well", "were",
 ]
 # Boilerplate, in the order in which it goes; \z is the end of the text.
-_TO_BREAK = r".*?(?=\n\n|\z)"
 BOILERPLATE = [
     r"(?is)choose which cookies.*?(?=\n\n|\n[A-Z]|\z)",
-    *(rf"(?is){p}{_TO_BREAK}" for p in (
-        "accept all cookies", "cookie consent", "privacy settings", "we use cookies", "this website uses cookies",
-        r"privacy policy.*?terms of (use|service)", r"terms of (use|service)", r"all rights reserved.*?\d{4}",
-    )),
+    r"(?is)accept all cookies.*?(?=\n\n|\z)",
+    r"(?is)cookie consent.*?(?=\n\n|\z)",
+    r"(?is)privacy settings.*?(?=\n\n|\z)",
+    r"(?is)we use cookies.*?(?=\n\n|\z)",
+    r"(?is)this website uses cookies.*?(?=\n\n|\z)",
+    r"(?is)privacy policy.*?terms of (use|service).*?(?=\n\n|\z)",
+    r"(?is)terms of (use|service).*?(?=\n\n|\z)",
+    r"(?is)all rights reserved.*?\d{4}.*?(?=\n\n|\z)",
     r"(?i)copyright \x{00A9}?\s*\d{4}.*?all rights reserved",
-    *(rf"(?is){p}{_TO_BREAK}" for p in (
-        r"\x{00A9}\s*\d{4}", "subscribe to our newsletter", "sign up for our newsletter", "join our mailing list",
-        "get the latest updates", "stay connected", "follow us on (?:twitter|facebook|instagram|linkedin|youtube|tiktok)",
-        "connect with us.*?(?:twitter|facebook|instagram|linkedin)", "share this (?:article|post|page)",
-        "share on (?:twitter|facebook|linkedin)",
-    )),
-    r"(?im)\^\s*home\s*[/>\x{00BB}].*$", r"(?im)^\s*menu\s*$", r"(?im)^\s*search\s*$", r"(?im)^\s*skip to content\s*$",
+    r"(?is)\x{00A9}\s*\d{4}.*?(?=\n\n|\z)",
+    r"(?is)subscribe to our newsletter.*?(?=\n\n|\z)",
+    r"(?is)sign up for our newsletter.*?(?=\n\n|\z)",
+    r"(?is)join our mailing list.*?(?=\n\n|\z)",
+    r"(?is)get the latest updates.*?(?=\n\n|\z)",
+    r"(?is)stay connected.*?(?=\n\n|\z)",
+    r"(?is)follow us on (?:twitter|facebook|instagram|linkedin|youtube|tiktok).*?(?=\n\n|\z)",
+    r"(?is)connect with us.*?(?:twitter|facebook|instagram|linkedin).*?(?=\n\n|\z)",
+    r"(?is)share this (?:article|post|page).*?(?=\n\n|\z)",
+    r"(?is)share on (?:twitter|facebook|linkedin).*?(?=\n\n|\z)",
+    r"(?im)\^\s*home\s*[/>\x{00BB}].*$",
+    r"(?im)^\s*menu\s*$",
+    r"(?im)^\s*search\s*$",
+    r"(?im)^\s*skip to content\s*$",
     r"(?im)^\s*skip to main content\s*$",
-    *(rf"(?is){p}.*\z" for p in (
-        "related (?:articles|posts|stories|content)", "you may also like", "recommended for you", r"comments?\s*\(\d+\)",
-        "leave a comment", "add your comment",
-    )),
-    *(rf"(?is){p}{_TO_BREAK}" for p in ("powered by", "built with", r"made with.*?(love|\x{2665})")),
-    "(?i)arXivLabs is a framework that allows collaborators",
-]
+    r"(?is)related (?:articles|posts|stories|content).*\z",
+    r"(?is)you may also like.*\z",
+    r"(?is)recommended for you.*\z",
+    r"(?is)comments?\s*\(\d+\).*\z",
+    r"(?is)leave a comment.*\z",
+    r"(?is)add your comment.*\z",
+    r"(?is)powered by.*?(?=\n\n|\z)",
+    r"(?is)built with.*?(?=\n\n|\z)",
+    r"(?is)made with.*?(love|\x{2665}).*?(?=\n\n|\z)",
+]
+# What goes where it first stands only.
+BOILERPLATE_ONCE = "arXivLabs is a framework that allows collaborators"
+#: One of these is in every text that any of the patterns matches; a text without them skips the patterns.
+_BOILERPLATE_SIGNS = (
+    "cookie|privacy|terms of|all rights|copyright|\\x{00A9}|newsletter|mailing list|latest updates|stay connected|follow us|connect with|share|home|menu|search|"
+    "skip to|related|you may|recommended|comment|powered by|built with|made with|arxivlabs"
+)
+
+
+def bind(value: Column, use) -> Column:
+    """use(value), with value evaluated once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def js_trim(s: Column) -> Column:
@@ -98,22 +123,32 @@ def length_score(s: Column, least: int | None = None, most: int | None = None) -
 def quality_metrics(s: Column) -> Column:
     """struct(length_score, readability_score, diversity_score, format_score, overall, reason)."""
     s = F.coalesce(s, F.lit(""))
-    n = F.length(s)
-    length = F.when(n < 50, 3).when(n < 100, 5).when(n < 200, 7).when(n > 10000, 6).otherwise(10)
+    words = F.regexp_extract_all(F.lower(s), F.lit(r"\w+"), F.lit(0))
     sentences = F.size(F.filter(F.split(s, "[.!?]+"), lambda x: x.rlike(r"\S")))
+    share = bind(words, lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w).cast("double")).otherwise(F.lit(0.0)))
+    minus = lambda c, k: F.when(c, k).otherwise(0)
+    odd = minus(s.contains("\n\n\n\n"), 2) + minus(s.rlike(r"[^\x20-\x7E\s\x{00A0}-\x{024F}]"), 1) + minus(s.contains("  "), 1)
+    counts = F.struct(F.length(s).alias("n"), sentences.alias("sentences"), share.alias("share"), odd.alias("odd"), s.rlike(r"[.!?]\z").alias("ends"))
+    return bind(bind(counts, _quality_scores), _quality)
+
+
+def _quality_scores(c: Column) -> Column:
+    n, sentences = c["n"], c["sentences"]
+    length = F.when(n < 50, 3).when(n < 100, 5).when(n < 200, 7).when(n > 10000, 6).otherwise(10)
     mean = F.when(sentences > 0, n / sentences.cast("double")).otherwise(F.lit(0.0))
     readability = F.when(mean < 10, 4).when(mean > 50, 5).otherwise(10)
-    words = F.regexp_extract_all(F.lower(s), F.lit(r"\w+"), F.lit(0))
-    share = F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / F.size(words).cast("double")).otherwise(F.lit(0.0))
-    diversity = F.greatest(F.lit(1), F.least(F.lit(10), round_half_up(share * F.lit(20.0))))
-    minus = lambda c, k: F.when(c, k).otherwise(0)
-    form = F.greatest(F.lit(1), F.lit(10) - minus(s.contains("\n\n\n\n"), 2) - minus(s.rlike(r"[^\x20-\x7E\s\x{00A0}-\x{024F}]"), 1) - minus(s.contains("  "), 1) - minus((sentences > 0) & ~s.rlike(r"[.!?]\z"), 1))
-    overall = round_half_up(length * F.lit(0.3) + readability * F.lit(0.25) + diversity * F.lit(0.25) + form * F.lit(0.2))
-    said = [F.when(v < 7, F.concat(F.lit(f"{k}: "), v.cast("string"), F.lit("/10"))) for k, v in (("Length", length), ("Readability", readability), ("Diversity", diversity), ("Format", form))]
+    diversity = F.greatest(F.lit(1), F.least(F.lit(10), round_half_up(c["share"] * F.lit(20.0))))
+    form = F.greatest(F.lit(1), F.lit(10) - c["odd"] - F.when((sentences > 0) & ~c["ends"], 1).otherwise(0))
+    return F.struct(length.cast("int").alias("length"), readability.cast("int").alias("readability"), diversity.cast("int").alias("diversity"), form.cast("int").alias("form"))
+
+
+def _quality(v: Column) -> Column:
+    overall = round_half_up(v["length"] * F.lit(0.3) + v["readability"] * F.lit(0.25) + v["diversity"] * F.lit(0.25) + v["form"] * F.lit(0.2))
+    said = [F.when(v[k] < 7, F.concat(F.lit(f"{name}: "), v[k].cast("string"), F.lit("/10"))) for name, k in (("Length", "length"), ("Readability", "readability"), ("Diversity", "diversity"), ("Format", "form"))]
     reason = F.concat_ws(", ", *said)
     return F.struct(
-        length.cast("int").alias("length_score"), readability.cast("int").alias("readability_score"), diversity.cast("int").alias("diversity_score"),
-        form.cast("int").alias("format_score"), overall.alias("overall"), F.when(reason == "", "Good quality content").otherwise(reason).alias("reason"),
+        v["length"].alias("length_score"), v["readability"].alias("readability_score"), v["diversity"].alias("diversity_score"),
+        v["form"].alias("format_score"), overall.alias("overall"), F.when(reason == "", "Good quality content").otherwise(reason).alias("reason"),
     )
 
 
@@ -137,8 +172,11 @@ def relevance(s: Column, target: str) -> Column:
 
 
 def remove_boilerplate(s: Column) -> Column:
+    bare = s
     for p in BOILERPLATE:
-        s = F.regexp_replace(s, p, "")
+        bare = F.regexp_replace(bare, p, "")
+    bare = F.regexp_replace(bare, rf"(?s)\A(.*?)(?i:{BOILERPLATE_ONCE})", "$1")
+    s = F.when(s.rlike(f"(?i){_BOILERPLATE_SIGNS}"), bare).otherwise(s)
     return js_trim(F.regexp_replace(F.regexp_replace(s, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
 
 
@@ -148,6 +186,10 @@ def clean_title(title: Column) -> Column:
 
 def question_pair(title: Column, s: Column) -> Column:
     """struct(instruction, output): a question of the title, and the first paragraph of over 50 characters or the start."""
+    return bind(s, lambda text: _question_pair(title, text))
+
+
+def _question_pair(title: Column, s: Column) -> Column:
     paragraphs = F.filter(F.transform(F.split(s, r"\n\n+"), js_trim), lambda p: F.length(p) > 50)
     start = F.concat(F.substring(js_trim(s), 1, 500), F.when(F.length(s) > 500, "...").otherwise(""))
     return F.struct(F.concat(F.lit("What is "), clean_title(title), F.lit("?")).alias("instruction"), F.coalesce(F.get(paragraphs, F.lit(0)), start).alias("output"))

@@ -106,12 +106,14 @@ def media_digest(docs: DataFrame) -> DataFrame:
 
     def digest(ids: list[int], texts: list[str]) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        done: dict[str, tuple] = {}  # a batch's equal texts once
         for doc_id, text in zip(ids, texts):
-            media = webp_writer.encode(image_of(payload_of(text)))
-            pixels = webp.decode(media)
-            payload = samples_of(pixels)
-            row = (doc_id, len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(pixels))
-            for k, v in zip(out, row):
+            if text not in done:
+                media = webp_writer.encode(image_of(payload_of(text)))
+                pixels = webp.decode(media)
+                payload = samples_of(pixels)
+                done[text] = (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(pixels))
+            for k, v in zip(out, (doc_id, *done[text])):
                 out[k].append(v)
         return out
 

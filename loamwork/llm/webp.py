@@ -301,7 +301,8 @@ def _replayed(value: np.ndarray, distances: list[int], cache_bits: int) -> np.nd
         for k, length, d in zip(np.flatnonzero(is_copy).tolist(), lengths, distances):
             if k > at:
                 out += tokens[at:k]
-            out += copy(length, d)
+            n = len(out)
+            out += out[n - d : n - d + length] if length <= d <= n else copy(length, d)
             at = k + 1
         return np.frombuffer(out + tokens[at:], dtype=np.uint32)
     cache = [0] * (1 << cache_bits)
@@ -504,5 +505,7 @@ def decode(data: bytes) -> np.ndarray:
             argb = _invert_subtract_green(argb)
         else:
             argb = _invert_palette(argb, side, outer)
-    out = np.stack([argb >> 16 & 0xFF, argb >> 8 & 0xFF, argb & 0xFF, argb >> 24 if alpha else np.full_like(argb, 255)], axis=-1)
-    return out.astype(np.uint8)
+    out = np.ascontiguousarray(argb, dtype="<u4").view(np.uint8).reshape(*argb.shape, 4)[..., [2, 1, 0, 3]]
+    if not alpha:
+        out[..., 3] = 255
+    return out

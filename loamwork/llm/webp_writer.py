@@ -15,7 +15,7 @@ import numpy as np
 from loamwork.llm.webp import ALPHABETS, CACHE_MULTIPLIER, CODE_LENGTH_ORDER, CROSS_COLOUR, MAX_SIDE, PALETTE, PREDICTOR, SHORT_DISTANCES, SUBTRACT_GREEN, TURNED, WebpError
 
 #: Pixels of the shortest back-reference, and how far and long one may reach.
-LEAST_COPY = {False: 3, True: 5}  # by whether a literal has one sample that is not constant
+LEAST_COPY = {False: 3, True: 7}  # by whether a literal has one sample that is not constant
 FARTHEST, LONGEST = (1 << 20) - 120, 4096
 CACHE_BITS = 8
 #: log2 of the side of a tile that has one predictor, or one set of cross-colour elements.
@@ -124,8 +124,12 @@ def write_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for s in CODE_LENGTH_ORDER[: max(4, places)]:
         out.put(int(inner[s]), 3)
     out.put(0, 1)
+    word, length = 0, 0
     for symbol, extra, n in tokens:
-        out.put(words[symbol] | extra << widths[symbol], widths[symbol] + n)
+        width = widths[symbol]
+        word |= (words[symbol] | extra << width) << length
+        length += width + n
+    out.put(word, length)
     return (codewords(lengths), lengths) if len(used) > 1 else (none.astype(np.uint64), none)
 
 
@@ -159,12 +163,12 @@ def _before(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _copies(argb: np.ndarray, lean: bool) -> tuple[list[int], list[int], list[int]]:
+def _copies(argb: np.ndarray, lean: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, lengths and distances of the back-references: stretches in which equal pairs of pixels (four pixels, where each is
     lean) all last stood equally far before."""
     least = LEAST_COPY[lean]
     if len(argb) <= least:
-        return [], [], []
+        return (np.empty(0, dtype=np.int64),) * 3
     if lean:
         g = (argb >> np.uint32(8)).astype(np.uint8).astype(np.uint32)
         before, span = _before(g[:-3] | g[1:-2] << np.uint32(8) | g[2:-1] << np.uint32(16) | g[3:] << np.uint32(24)), 4
@@ -176,17 +180,18 @@ def _copies(argb: np.ndarray, lean: bool) -> tuple[list[int], list[int], list[in
     far[far > FARTHEST] = 0
     first = np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1])))
     last = np.append(first[1:], len(far))
-    long = (far[first] > 0) & (last - first + span - 1 >= least)
-    starts, lengths, distances, end = [], [], [], 0
-    for a, b, d in zip(first[long].tolist(), (last[long] + span - 1).tolist(), far[first[long]].tolist()):
-        a = max(a, end)
-        while b - a >= least:
-            n = min(LONGEST, b - a)
-            starts.append(a)
-            lengths.append(n)
-            distances.append(d)
-            a = end = a + n
-    return starts, lengths, distances
+    taken = (far[first] > 0) & (last - first + span - 1 >= least)
+    first, end, distance = first[taken], last[taken] + span - 1, far[first[taken]]
+    # a stretch runs into the next one by its last pair: what is left of that must be long enough
+    start = np.maximum(first, np.concatenate(([0], np.maximum.accumulate(end)[:-1]))) if len(first) else first
+    long = end - start >= least
+    start, length, distance = start[long], (end - start)[long], distance[long]
+    if len(length) and length.max() > LONGEST:
+        parts = -(-length // LONGEST)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        left = np.repeat(length, parts) - nth * LONGEST
+        start, length, distance = np.repeat(start, parts) + nth * LONGEST, np.minimum(left, LONGEST), np.repeat(distance, parts)
+    return start, length, distance
 
 
 def _worth(counts: np.ndarray) -> float:
@@ -210,7 +215,7 @@ def _write_image(out: BitWriter, argb: np.ndarray, main: bool) -> np.ndarray:
     kind = np.zeros(len(flat), dtype=np.int8)  # 0 literal, 1 cache, 2 copy, 3 within a copy
     beside = flat & np.uint32(0xFFFF00FF)
     lean = bool((beside == beside[0]).all())  # green alone varies: a literal is one symbol, and a cache could not be shorter
-    starts, lengths, distances = (np.array(c, dtype=np.int64) for c in _copies(flat, lean))
+    starts, lengths, distances = _copies(flat, lean)
     copies = len(starts) > 0
     if copies:
         edge = np.zeros(len(flat) + 1, dtype=np.int32)
@@ -294,8 +299,8 @@ def _predicted(argb: np.ndarray):
     """(tile image, residual) of the best predictor of each tile, if left or top leaves less of green than green itself."""
     if argb.shape[0] < 2 or argb.shape[1] < 2:
         return None
-    green = (argb >> np.uint32(8)).astype(np.uint8)
-    own = _worth(np.bincount(green.ravel(), minlength=256))
+    green = (argb[:17] >> np.uint32(8)).astype(np.uint8)  # a first look
+    own = _worth(np.bincount(green[1:, 1:].ravel(), minlength=256))
     if min(_worth(np.bincount((green[1:, 1:] - other).ravel(), minlength=256)) for other in (green[1:, :-1], green[:-1, 1:])) >= own:
         return None
     left = {mode: _residual(argb, mode) for mode in PREDICTORS}

@@ -9,8 +9,9 @@ What is proven stable depends on the kind of vocabulary.  ``word``: white space
 is dropped, so a token start after white space is stable.  ``byte``: a space between two non-spaces starts a
 pre-token, so a token start at such a space is stable.
 
-The counting path of a short document under ``word`` uses the same proof: the text splits at white space, and
-the counts of the words between are remembered by each worker.
+Counting under ``word`` goes the same way, by smaller chunks: a chunk's tokens are counted word by word, each worker
+remembering counts of words, and of an overlap the words with their places are read from both chunks, whose cut words
+differ; the chunks are spliced at the last start that both have and that is proven stable.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from loamwork.llm.memo import Memo
 
 #: White space on which both str.split() and the vocabulary's \s agree; a text with any other goes to the library whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+_NO_SPACE = re.compile(r"\S+")
+#: Characters of a chunk that is counted, and of an overlap.
+CHARS, OVERLAP = 4096, 128
 
 
 def stable_word(text: str, at: int) -> bool:
@@ -107,12 +111,37 @@ class Resynchroniser:
             return n
         return len(self._tokenizer.encode(word, add_special_tokens=False).ids)
 
+    def _overlapping(self, text: str, a: int, b: int, end: int) -> list[tuple[int, int]]:
+        """(start, tokens) of the words of text[a:b], cut there as the chunk is, that start before end."""
+        out = []
+        for m in _NO_SPACE.finditer(text, a, b):
+            if m.start() >= end:
+                break
+            out.append((m.start(), self._words[m.group()]))
+        return out
+
     def count(self, text: str) -> int:
-        if len(text) > self.chunk:
-            return len(self.encode(text)[0])
+        """The number of tokens of a text, by chunks of CHARS characters where white space is no part of a token."""
         if self.kind != "word" or _ODD_SPACE.search(text):
-            return len(self._tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(map(self._words.__getitem__, text.split()))
+            return len(self.encode(text)[0])
+        total, settled, end, n = 0, 0, min(len(text), CHARS), len(text)
+        while end < n:
+            overlap, after = OVERLAP, min(n, end - OVERLAP + CHARS)
+            while True:
+                a = max(settled, end - overlap)
+                left, right = self._overlapping(text, a, end, end), dict(self._overlapping(text, a, after, end))
+                # the overlap's first word may be cut on the right, its last one on the left: starts after white space agree
+                cut = next((s for s, _ in reversed(left) if s > a and s in right and self._stable(text, s)), None)
+                if cut is not None:
+                    total += sum(map(self._words.__getitem__, text[settled:cut].split()))
+                    settled = cut
+                    break
+                self.widened += 1
+                if a == settled:  # no stable place since the last one: the stretch stays open, and grows by the next chunk
+                    break
+                overlap *= 2
+            end = after
+        return total + sum(map(self._words.__getitem__, text[settled:].split()))
 
 
 class WordRanks:

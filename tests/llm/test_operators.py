@@ -64,6 +64,17 @@ def test_splicing_equals_the_library(texts, kind, file):
     assert spliced.widened > 0
 
 
+def test_counting_by_chunks(texts, monkeypatch):
+    """Chunks so small that words are cut, overlaps are widened and stretches without white space grow over several chunks."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(token_count, "CHARS", 40)
+    monkeypatch.setattr(token_count, "OVERLAP", 6)
+    counter = token_count.Resynchroniser(public_tokenizers.path("word_bpe_49k.json"))
+    for t in [*list(texts.values())[:40], "x" * 900 + " y " + "é" * 500, " " * 200 + "a" + "\t\n" * 90, "ab " * 400, "<|endoftext|> " * 30, "漢字 " * 99, ""]:
+        assert counter.count(t) == len(library.encode(t, add_special_tokens=False).ids)
+    assert counter.widened > 0
+
+
 def test_word_counts_equal_the_library(texts):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ranks = token_count.WordRanks.of(public_tokenizers.path("word_bpe_49k.json"))

@@ -120,8 +120,9 @@ def collision_names(df: DataFrame, folder: Column, path: str, order: str) -> Dat
     name = base_name(F.col(path))
     ext = file_extension(name)
     stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+    tail = F.substring(name, F.length(stem) + 1, F.length(ext))
     k = F.row_number().over(W.partitionBy(folder, name).orderBy(order)) - 1
-    return df.withColumn("file_name", F.when(k > 0, F.concat(stem, F.lit("_"), k.cast("string"), ext)).otherwise(name))
+    return df.withColumn("file_name", F.when(k > 0, F.concat(stem, F.lit("_"), k.cast("string"), tail)).otherwise(name))
 
 
 def class_folder(df: DataFrame, path: str, label: str, order: str) -> DataFrame:

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.functions import scalars as X
-from loamwork.functions.text import js_trim
+from loamwork.functions import urls as U
+from loamwork.functions.text import TAG_STOP_WORDS, js_trim
 from loamwork.operators import assets as A
 from loamwork.operators import cleanup as L
 from loamwork.operators import dedupe as D
 from loamwork.operators import formats as C
+from loamwork.operators import pages as G
 from loamwork.operators import predicate as V
-from loamwork.plans.catalog import DOCS, PAGES, URL_RE, query
+from loamwork.plans.catalog import DOCS, PAGES, SEGMENTS, URL_RE, query
 
 c = F.col
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -254,3 +256,18 @@ def _(e):
 @query("trimmed_records", "SELECT doc_id, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS h FROM documents", DOCS)
 def _(d):
     return d.select("doc_id", F.md5(js_trim(c("text")).cast("binary")).alias("h"))
+
+
+_WORDS = f"string_split_regex({TITLE}, '[\\s|—\\-:,]+')"
+_STOP = "(" + ", ".join(f"'{w}'" for w in TAG_STOP_WORDS) + ")"
+
+
+@query("page_tags", f"""SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(s, lambda x: lower(x)),
+list_filter(list_transform({_WORDS}, lambda w: lower(trim(w))), lambda w: length(w) > 3 AND w NOT IN {_STOP})[1:5]))), '|') AS tags FROM ({SEGMENTS}) JOIN pages USING (page_id)""", PAGES)
+def _(p):
+    return p.filter(U.is_url(c("url"))).select("page_id", F.array_join(F.array_sort(G.url_tags(F.regexp_extract("html", "<title>([^<]*)</title>", 1), c("url"))), "|").alias("tags"))
+
+
+@query("page_labels", f"SELECT page_id, CASE WHEN len(w) > 0 THEN array_to_string(w[1:3], ' ') ELSE 'uncategorized' END AS label FROM (SELECT page_id, list_filter({_WORDS}, lambda w: length(w) > 3) AS w FROM pages)", PAGES)
+def _(p):
+    return p.select("page_id", G.label_from_context(F.lit("http://h.example/"), F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("label"))

@@ -20,8 +20,8 @@ Only components are asked for, so a list is not expanded into its pairs.  Every
   count, never too low, exceeds ``HOT`` is dealt over several buckets as well; no task's list grows without bound.
 * First, each set of a list is paired with the list's ``LEADERS`` least sets.  Of those that pass the bounds each
   set's nearest by sketch is verified and joined to components.  A list that then lies in one component is done.
-* In the other lists, the sets outside the largest component are compared with all sets of other components by
-  parity sketches, in blocks of packed arrays.  Each set's nearest is verified first, and the components joined
+* Of the other lists, those with one largest component are one unit.  Its sets outside that component are compared with
+  all its sets of other components by parity sketches, in blocks of packed arrays.  Each set's nearest is verified first, and the components joined
   again.  What then still lies apart and is not refuted by its sketch is verified pair by pair.
 * Parity sketches of 1024 bits, more for larger sets, give a lower bound of the sets' difference.  Whole sets are compared from the
   compressed texts of the sets in question.
@@ -60,7 +60,7 @@ ENTRIES_A_BUCKET = 500_000
 LEAST_BUCKETS = 64
 #: Sets whose row keys (24 bytes each) are broadcast.
 BROADCAST_SETS = 1 << 19
-#: Sets of a list that are compared as one block: those outside its largest component, and all.
+#: Sets of a unit of lists that are compared as one block: those outside its largest component, and all.
 BLOCK_OUTSIDE, BLOCK_ALL = 1024, 4096
 ROWS_A_BLOCK_BUCKET = 50_000
 
@@ -227,12 +227,12 @@ def _passes(na, pa_, nb, pb):
     return (4 * small >= 3 * large) & ((pa_ < 0) | (7 * ahead >= 3 * (na + nb)))
 
 
-_PAIR_SCHEMA = "a long, b long, list long, n long, place long"
-_PAIR_ARROW = pa.schema([(name, pa.int64()) for name in ("a", "b", "list", "n", "place")])
+_PAIR_SCHEMA = "a long, b long, list long"
+_PAIR_ARROW = pa.schema([(name, pa.int64()) for name in ("a", "b", "list")])
 
 
 def _bucket_pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b; list null) of a bucket's lists with their first sets; and the entries (a, list, n, place) of lists that these pairs
+    """Pairs (a, b; list null) of a bucket's lists with their first sets; and the entries (a, list) of lists that these pairs
     do not exhaust, lists of the same sets once.  A hot element's list is numbered by its key, so that its parts of other buckets join it."""
     sig, n, keys, place, hot = [], [], [], [], []
     for b in batches:
@@ -268,25 +268,21 @@ def _bucket_pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     a, b = np.concatenate(left), np.concatenate(right)
     ok = _passes(n[a], place[a], n[b], place[b])
     pairs = np.unique(np.stack([sig[a[ok]], sig[b[ok]]], axis=1), axis=0)
-    merged: dict[tuple[bool, bytes], list] = {}
+    merged: dict[tuple[int, bytes], tuple[int, slice]] = {}
     bucket = key[0].as_py()
     for at, length in zip(starts.tolist(), lengths.tolist()):
         if length > LEADERS + 1 or hot[at]:
             own = slice(at, at + length)
             number = int(keys[at]) if hot[at] else (bucket + 1) << 32 | int(keys[at])
-            known = merged.setdefault((number if hot[at] else 0, sig[own].tobytes()), [number, own, place[own]])
-            known[2] = np.minimum(known[2], place[own])
-    lists = [np.empty((0, 4), dtype=np.int64)]
-    for number, own, places in merged.values():
-        lists.append(np.stack([sig[own], np.full(len(places), number), n[own], places], axis=1))
-    members = np.concatenate(lists)
-    k, m = len(pairs), len(members)
-    masked = lambda values, absent: pa.array(values, mask=absent)
+            merged.setdefault((number if hot[at] else 0, sig[own].tobytes()), (number, own))
+    none = np.empty(0, dtype=np.int64)
+    member = np.concatenate([none, *(sig[own] for _, own in merged.values())])
+    number = np.concatenate([none, *(np.full(own.stop - own.start, number) for number, own in merged.values())])
+    k, m = len(pairs), len(member)
     is_pair = np.arange(k + m) < k
-    none = np.zeros(k, dtype=np.int64)
     yield pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate((pairs[:, 0], members[:, 0]))), masked(np.concatenate((pairs[:, 1], np.zeros(m, dtype=np.int64))), ~is_pair),
-        *(masked(np.concatenate((none, members[:, c])), is_pair) for c in (1, 2, 3)),
+        pa.array(np.concatenate((pairs[:, 0], member))), pa.array(np.concatenate((pairs[:, 1], np.zeros(m, dtype=np.int64))), mask=~is_pair),
+        pa.array(np.concatenate((np.zeros(k, dtype=np.int64), number)), mask=is_pair),
     ], schema=_PAIR_ARROW)
 
 
@@ -354,13 +350,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, collided: froz
 
 
 def _compare_blocks(nearest: bool):
-    """(a, b, differ): sets outside their list's largest component, each with those of other components that bounds and
+    """(a, b, differ): sets outside their unit's largest component, each with those of other components that sizes and
     sketches do not refute, the nearest one or all."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         number = lambda name: table.column(name).to_numpy()
-        sig, n, place, comp = (number(c) for c in ("sig", "n", "place", "component"))
+        sig, n, comp = (number(c) for c in ("sig", "n", "component"))
         raw = table.column("parity").to_pylist()
         words = np.array([len(p) // 8 for p in raw])
         row = np.empty(len(raw), dtype=np.int64)  # its row in the matrix of sketches of its length
@@ -376,7 +372,7 @@ def _compare_blocks(nearest: bool):
                 parity[w][folded] = _folded(parity[w][w], folded)
             return parity[w][folded]
 
-        block = np.stack([number("list"), number("ob"), number("mb")])
+        block = np.stack([number("main"), number("ob"), number("mb")])
         order = np.lexsort(block)
         edges = np.flatnonzero((np.diff(block[:, order], axis=1) != 0).any(axis=0)) + 1
         outside = number("outside")
@@ -384,7 +380,7 @@ def _compare_blocks(nearest: bool):
         for part in np.split(order, edges):
             every = part[outside[part] == 0]
             for o in part[outside[part] == 1].tolist():
-                other = every[(comp[every] != comp[o]) & _passes(n[o], place[o], n[every], place[every])]
+                other = every[(comp[every] != comp[o]) & (4 * np.minimum(n[every], n[o]) >= 3 * np.maximum(n[every], n[o]))]
                 if not len(other):
                     continue
                 differ = np.empty(len(other), dtype=np.int64)
@@ -396,7 +392,7 @@ def _compare_blocks(nearest: bool):
                     ok = ok[np.argmin(differ[ok])][None] if nearest else ok
                     found.append(np.stack([np.full(len(ok), sig[o]), sig[other[ok]], differ[ok]], axis=1))
         rows = np.unique(np.concatenate(found), axis=0)
-        if nearest:  # of all lists here
+        if nearest:  # of all units here
             rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
             rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
         yield pa.RecordBatch.from_pydict({"a": rows[:, 0], "b": rows[:, 1], "differ": rows[:, 2]}, schema=_APART)
@@ -421,23 +417,26 @@ def _crossing(pairs: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, of: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame | None:
-    """Pairs to verify of lists that lie in several components; None without such lists.  A list is cut into blocks: of its sets outside the
-    largest component by all of its sets, so no task holds a whole long list."""
-    known = members.join(of, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    """Pairs to verify of lists that lie in several components; None without such lists.
+
+    Lists with one largest component are one unit, in which a set stands once however many of them hold it: near copies share
+    many lists.  A unit is cut into blocks, of its sets outside that component by all of its sets, so no task holds a whole one."""
+    known = members.select("list", "sig").join(of, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     shares = known.groupBy("list", "component").agg(F.count(F.lit(1)).alias("k"))
-    mixed = shares.groupBy("list").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all")).filter("all > top.k")
+    mixed = shares.groupBy("list").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all")).filter("all > top.k").select("list", F.col("top.component").alias("main"))
+    units = shared_checkpoint(known.join(mixed, "list").select("main", "sig", "component").distinct())
     blocks = lambda rows, size: F.ceil(rows / size).cast("int")
-    mixed = shared_checkpoint(mixed.select("list", F.col("top.component").alias("main"), blocks(F.col("all") - F.col("top.k"), BLOCK_OUTSIDE).alias("_ob"), blocks(F.col("all"), BLOCK_ALL).alias("_mb"), "all"))
-    rows = mixed.agg(F.sum(F.col("all") * F.col("_ob"))).first()[0]
+    sizes = units.groupBy("main").agg(blocks(F.count_if(F.col("component") != F.col("main")), BLOCK_OUTSIDE).alias("_ob"), blocks(F.count(F.lit(1)), BLOCK_ALL).alias("_mb"), F.count(F.lit(1)).alias("_all"))
+    rows = sizes.agg(F.sum(F.col("_all") * F.col("_ob"))).first()[0]
     if not rows:
         return None
-    left = known.join(mixed, "list").join(sets.select("sig", "parity"), "sig").withColumn("_h", F.xxhash64("sig"))
+    left = units.join(sizes.filter("_ob > 0"), "main").join(sets.select("sig", "n", "parity"), "sig").withColumn("_h", F.xxhash64("sig"))
     every = F.transform(F.sequence(F.lit(0), F.col("_ob") - 1), lambda k: F.struct(k.alias("ob"), F.pmod("_h", "_mb").cast("int").alias("mb"), F.lit(0).alias("outside")))
     alone = F.transform(F.sequence(F.lit(0), F.col("_mb") - 1), lambda k: F.struct(F.pmod("_h", "_ob").cast("int").alias("ob"), k.alias("mb"), F.lit(1).alias("outside")))
     none = F.slice(alone, F.lit(1), F.lit(0))
-    dealt = left.select("list", "sig", "n", "place", "component", "parity", F.explode(F.concat(every, F.when(F.col("component") != F.col("main"), alone).otherwise(none))).alias("_b")).select("*", "_b.*").drop("_b")
+    dealt = left.select("main", "sig", "n", "component", "parity", F.explode(F.concat(every, F.when(F.col("component") != F.col("main"), alone).otherwise(none))).alias("_b")).select("*", "_b.*").drop("_b")
     buckets = max(LEAST_BUCKETS, math.ceil(2 * rows / ROWS_A_BLOCK_BUCKET))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("list", "ob", "mb"), F.lit(buckets)))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("main", "ob", "mb"), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(_compare_blocks(nearest), "a long, b long, differ long")
 
 
@@ -469,7 +468,7 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = max(LEAST_BUCKETS, math.ceil(sum(e for _, e in sizes.values()) / ENTRIES_A_BUCKET))
     lists = _lists(rows, levels, hot, boundary, buckets, collided)
     found = shared_checkpoint(lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_pairs, _PAIR_SCHEMA))
-    members = found.filter("list is not null").select("list", F.col("a").alias("sig"), "n", "place")
+    members = found.filter("list is not null").select("list", F.col("a").alias("sig"))
     pairs = found.filter("list is null").select("a", "b")
     if any(hot <= level for level in np.unique(levels)):  # the parts of hot lists meet in their least sets
         tops = members.filter(F.col("list") < 1 << 32).groupBy("list").agg(F.min("sig").alias("a"))

@@ -8,13 +8,17 @@ through, and the join that follows gives the same result at the cost of moving t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from loamwork.llm.common import bounded_batches
 
 LEAST, MOST = 20, 28
 _BLOCK = 1 << 16
@@ -55,6 +59,23 @@ def may_be_in(rows: DataFrame, columns: list[str], bits: np.ndarray) -> DataFram
     return rows.withColumn("_in", has(place_of(columns, bits)))
 
 
+def map_filtered(df: DataFrame, key: list[str], bits: np.ndarray, inside: bool, columns: list[str], fn: Callable[..., dict], schema: str) -> DataFrame:
+    """map_rows() over the rows that pass the filter, or over the others, in one Python worker a task."""
+    bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(columns)).to_numpy()
+            hits = np.flatnonzero((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) == inside)
+            if len(hits):
+                own = batch.take(pa.array(hits))
+                yield pa.RecordBatch.from_pydict(fn(*(own.column(c).to_pylist() for c in columns)), schema=arrow)
+
+    return df.select(*columns, place_of(key, bits).alias("_at")).mapInArrow(run, schema)
+
+
 def anti_join(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     """rows whose columns are not among the keys, of which only rows that pass the filter move."""
     split = may_be_in(rows, columns, filter_of(keys, columns))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import bounded_batches, documents, map_rows, shared_checkpoint
-from loamwork.llm.rowfilter import filter_of, may_be_in
+from loamwork.llm.rowfilter import filter_of, map_filtered
 from loamwork.llm.shingles import mix
 
 LENGTH = 50
@@ -401,14 +401,14 @@ def _sorted_bucket(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
         yield _as_runs(head[row, 0], head[row, 1], head[row, 2] + start, np.ones(len(row), dtype=np.int64))
 
 
-def _squeezed(rows: DataFrame) -> DataFrame:
-    """doc_id, mark and z, the text's bytes compressed: what moves in an exchange."""
+def _squeezed(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """doc_id, mark and z, the text's bytes compressed, of the rows that pass a filter: what moves in an exchange."""
 
     def squeeze(ids: list[int], marks: list[int], texts: list[str]) -> dict:
         tool = zstandard.ZstdCompressor(level=3)
         return {"doc_id": ids, "mark": marks, "z": [tool.compress(t.encode()) for t in texts]}
 
-    return map_rows(rows, ["doc_id", "mark", "text"], squeeze, "doc_id long, mark long, z binary")
+    return map_filtered(rows, KEY, bits, True, ["doc_id", "mark", "text"], squeeze, "doc_id long, mark long, z binary")
 
 
 def _result(doc_ids: list, texts: list, copies: list, runs: list) -> dict:
@@ -455,18 +455,16 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     answers = _postings(rows, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_ANSWERS))
     found = answers.groupBy("batch").applyInArrow(_by_document, _ddl(_TOUCHED))
     touched = shared_checkpoint(found.groupBy(*KEY).agg(F.collect_list("keys").alias("keys")).join(copies, KEY, "left_anti"))
-    open_rows = may_be_in(rows, KEY, filter_of(touched, KEY)).filter("_in").drop("_in")
-    contexts = _contexts(_squeezed(open_rows).join(touched, KEY), buckets)
+    contexts = _contexts(_squeezed(rows, filter_of(touched, KEY)).join(touched, KEY), buckets)
     runs = contexts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, _ddl(_RUNS))
     runs = shared_checkpoint(runs.groupBy("doc_id", "mark").agg(F.collect_list("runs").alias("runs")))
     marked = runs.select("doc_id", "mark", "runs", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "mark", F.lit(None).cast("array<binary>").alias("runs"), F.lit(True).alias("copy")))
-    split = may_be_in(every, KEY, filter_of(marked, KEY))
-    plain = split.filter("not _in").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("runs"))
-    joined = _squeezed(split.filter("_in")).join(marked, KEY, "left")
+    bits = filter_of(marked, KEY)
+    joined = _squeezed(every, bits).join(marked, KEY, "left")
     drop = (lambda d: d) if keep_bytes else (lambda d: {k: v for k, v in d.items() if k != "kept"})
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    cut = lambda d, text: map_rows(d, ["doc_id", text, "copy", "runs"], lambda *a: drop(_result(*a)), schema)
-    return cut(plain, "text").union(cut(joined, "z"))
+    plain = map_filtered(every, KEY, bits, False, ["doc_id", "text"], lambda ids, texts: drop(_result(ids, texts, [False] * len(ids), [None] * len(ids))), schema)
+    return plain.union(map_rows(joined, ["doc_id", "z", "copy", "runs"], lambda *a: drop(_result(*a)), schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,9 +230,9 @@ _TOK = "list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: leng
 
 
 @query("overlap_score", f"""SELECT doc_id, CASE WHEN len(q) = 0 THEN 0.0 ELSE list_sum(list_transform(q, lambda w: CASE WHEN list_contains(t, w) THEN 2 WHEN list_contains(s, w) THEN 1 ELSE 0 END)) / (len(q) * 2.0::DOUBLE) END AS score
-FROM (SELECT doc_id, {_TOK.format(x="substr(text, 1, 40)")} AS q, {_TOK.format(x="substr(text, 20, 60)")} AS t, {_TOK.format(x="substr(text, 60, 400)")} AS s FROM documents)""", DOCS)
+FROM (SELECT doc_id, {_TOK.format(x="substr(text, 1, 40)")} AS q, {_TOK.format(x="substr(text, 20, 60)")} AS t, {_TOK.format(x="text")} AS s FROM documents)""", DOCS)
 def _(d):
-    return d.select("doc_id", T.overlap_score(F.substring("text", 1, 40), F.substring("text", 20, 60), F.substring("text", 60, 400), STOP).alias("score"))
+    return d.select("doc_id", T.overlap_score(F.substring("text", 1, 40), F.substring("text", 20, 60), c("text"), STOP).alias("score"))
 
 
 @query("token_estimate", "SELECT source, sum(ceil(length(text) / 4.0::DOUBLE))::BIGINT AS tokens FROM documents GROUP BY 1", DOCS)
@@ -341,12 +341,12 @@ def _(p):
     return G.link_assets(assets, pages).select("asset_id", c("page.page_id").alias("page_id"))
 
 
-@query("manifest_upsert", """WITH b AS (SELECT url, page_id, 0 AS src FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT url, page_id, 1 FROM pages WHERE page_id % 2 = 0),
+@query("manifest_upsert", """WITH b AS (SELECT url, page_id, 0 AS src FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT url, page_id, 1 FROM pages WHERE page_id % 3 = 0 OR page_id % 2 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY src DESC, page_id DESC) AS k, min(src * 1000000000 + page_id) OVER (PARTITION BY url) AS f FROM b)
 SELECT 'asset_' || row_number() OVER (ORDER BY f) AS asset_id, url, page_id FROM r WHERE k = 1""", PAGES)
 def _(p):
     rows = p.select("url", "page_id")
-    return G.merge_manifests(rows.filter("page_id % 3 <> 0"), rows.filter("page_id % 2 = 0"), "url", "page_id").select("asset_id", "url", "page_id")
+    return G.merge_manifests(rows.filter("page_id % 3 <> 0"), rows.filter("page_id % 3 = 0 or page_id % 2 = 0"), "url", "page_id").select("asset_id", "url", "page_id")
 
 
 @query("resume_antijoin", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", DOCS, LABELS)
@@ -364,9 +364,9 @@ query("html_pages", None, PAGES)(lambda p: H.extract_pages(p).select("page_id",
 
 
 # --- field maps, flattening, unions ---------------------------------------------------------------------------
-@query("field_map_template", "SELECT c_name || ' of ' || n_name AS who, 'balance ' || c_acctbal::VARCHAR AS note FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal BETWEEN 1 AND 9999", "customer", "nation")
+@query("field_map_template", "SELECT c_name || ' of ' || n_name AS who,  'balance ' || printf('%.2f', c_acctbal) AS note FROM customer JOIN nation ON c_nationkey = n_nationkey", "customer", "nation")
 def _(x, n):
-    rows = x.filter("c_acctbal between 1 and 9999").join(n, c("c_nationkey") == c("n_nationkey")).select(F.struct("c_name", "c_acctbal").alias("c"), F.array("n_name").alias("n"))
+    rows = x.join(n, c("c_nationkey") == c("n_nationkey")).select(F.struct("c_name", F.format_string("%.2f", "c_acctbal").alias("c_acctbal")).alias("c"), F.array("n_name").alias("n"))
     return P.apply_field_map(rows, {"who": "{{c.c_name}} of {{ n[0] }}", "note": "balance {{c.c_acctbal}}"})
 
 

@@ -84,6 +84,11 @@ def _folded(p: np.ndarray, words: int) -> np.ndarray:
     return p
 
 
+def _coarse(sigs: list[int], sizes: list[int], parities: list[bytes]) -> dict:
+    """Sets with sketches of a quarter of their bins, 1024 at least: what blocks are compared by."""
+    return {"sig": sigs, "n": sizes, "parity": [_folded(p := np.frombuffer(q, np.uint64), max(PARITY_WORDS, len(p) // 4)).tobytes() for q in parities]}
+
+
 #: A null doc_id counts above all.
 TOP = (1 << 63) - 1
 
@@ -127,8 +132,8 @@ def _summaries(rows: DataFrame) -> DataFrame:
 
 
 def _levels(summaries: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch's counters, summed over tasks, as levels for the order: two for each doubling, from four times the
-    mean on; and the level from which an element is hot.  One byte a counter: 4 MB."""
+    """The sketch's counters, summed over tasks, as levels for the order: two for each doubling of what exceeds their mean, from
+    three deviations on; and the level from which an element is hot.  One byte a counter: 4 MB."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -143,9 +148,11 @@ def _levels(summaries: DataFrame) -> tuple[np.ndarray, int]:
     width = len(counters) // SKETCH_BLOCKS
     for r in parts:
         counters[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-    floor = max(4.0, 4 * counters.mean())
-    level = lambda c: np.clip(np.floor(2 * np.log2(np.maximum(c, 1) / floor)) + 1, 0, 255)
-    return level(counters).astype(np.uint8), int(level(np.array([max(HOT, floor)]))[0])
+    # a counter holds the elements that meet in it by chance as well, about as many as the mean: what exceeds that counts
+    mean = counters.mean()
+    floor = 4 + 3 * math.sqrt(mean)
+    level = lambda c: np.clip(np.floor(2 * np.log2(np.maximum(c - mean, 1e-9) / floor)) + 1, 0, 255)
+    return level(counters).astype(np.uint8), int(level(np.array([mean + max(HOT, floor)]))[0])
 
 
 def subset_sizes(n: int, boundary: int) -> list[int]:
@@ -430,14 +437,16 @@ def _apart(members: DataFrame, of: DataFrame, sets: DataFrame, nearest: bool) ->
     rows = sizes.agg(F.sum(F.col("_all") * F.col("_ob"))).first()[0]
     if not rows:
         return None
-    left = units.join(sizes.filter("_ob > 0"), "main").join(sets.select("sig", "n", "parity"), "sig").withColumn("_h", F.xxhash64("sig"))
+    small = map_rows(sets, ["sig", "n", "parity"], _coarse, "sig long, n long, parity binary")
+    left = units.join(sizes.filter("_ob > 0"), "main").join(small, "sig").withColumn("_h", F.xxhash64("sig"))
     every = F.transform(F.sequence(F.lit(0), F.col("_ob") - 1), lambda k: F.struct(k.alias("ob"), F.pmod("_h", "_mb").cast("int").alias("mb"), F.lit(0).alias("outside")))
     alone = F.transform(F.sequence(F.lit(0), F.col("_mb") - 1), lambda k: F.struct(F.pmod("_h", "_ob").cast("int").alias("ob"), k.alias("mb"), F.lit(1).alias("outside")))
     none = F.slice(alone, F.lit(1), F.lit(0))
     dealt = left.select("main", "sig", "n", "component", "parity", F.explode(F.concat(every, F.when(F.col("component") != F.col("main"), alone).otherwise(none))).alias("_b")).select("*", "_b.*").drop("_b")
     buckets = max(LEAST_BUCKETS, math.ceil(2 * rows / ROWS_A_BLOCK_BUCKET))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("main", "ob", "mb"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(_compare_blocks(nearest), "a long, b long, differ long")
+    found = dealt.groupBy("bucket").applyInArrow(_compare_blocks(nearest), "a long, b long, differ long")
+    return _plausible(found, sets)  # by the whole sketches
 
 
 def _edges(of: DataFrame) -> DataFrame:

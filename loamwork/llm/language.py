@@ -16,8 +16,6 @@ run the recursion.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,15 +37,17 @@ SCRIPT_RANGES = [
 SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
 _STARTS = np.array([0, *(start for start, _ in SCRIPT_RANGES)], dtype=np.uint32)
 _SCRIPT_OF = np.array([SCRIPTS.index(""), *(SCRIPTS.index(name) for _, name in SCRIPT_RANGES)])
-# what \w has beyond letters (category L): numerals that are no decimal digits
-_NUMERALS = "".join(f"\\U{c:08x}" for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+# letters, and numerals that are no decimal digits: a class of the letters alone would be a long list, gone through for each sign
+_RUN = re.compile(r"[^\W\d_]+")
 _NGRAMS = (1, 2, 3, 4)
 
 
 def words_of(text: str) -> list[str]:
     """Maximal runs of letters (Unicode category L), in lower case."""
-    return _WORD.findall(text.lower())
+    runs = _RUN.findall(text.lower())
+    if text.isascii() or "".join(runs).isalpha():
+        return runs
+    return [word for run in runs for word in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def _letters(words: list[str]):

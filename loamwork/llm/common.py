@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 ARROW_ROWS = 1000
 ARROW_BYTES = 32 << 20
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -58,9 +59,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so that lost executors cost nothing."""
+    """Write df to the shared checkpoint folder and read it back, so that lost executors cost nothing.
+
+    The shuffle files of the plan go as soon as it is written: else they lie there until the driver's next full garbage
+    collection, and a query of many small steps leaves more of them, in blocks of the disk, than its data take.
+    """
+    conf = df.sparkSession.conf
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        alone = df.select("*")  # a plan of its own, so that nothing else reads its files
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+    return alone.checkpoint(eager=True)
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict], schema: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import time
 import timeit
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loamwork.llm import components, fingerprint, jaccard_join, language, mixing, packing, queries, secrets, shingles, suffix_dedup, token_count, toxicity
-from loamwork.llm.common import documents
+from loamwork.llm.common import documents, shared_checkpoint
 
 ODD = [(1, None, "de", "s", 0), (2, "", None, None, 0), (3, "one two", "en", "s", 7), (3, "one two", "en", "s", 7), (5, "word " * 3000 + "x" * 5000, "en", "s", 1), (6, " \t\n ", "en", "s", 4), (7, "漢字 é 😀 <|endoftext|> it's", "fr", "s", 1)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, _row string, keys string"
@@ -232,6 +234,22 @@ def test_fingerprints_odd_rows(odd):
     assert fingerprint.compare_neighbours(odd.limit(0)).count() == 0 and fingerprint.compare_neighbours(odd.limit(1)).first()["near_next"] == 1.0
 
 
+# --- checkpoints ----------------------------------------------------------------------------------------------
+def test_checkpoints_leave_no_shuffle_files(spark):
+    def files():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in folders for p in Path(d.toString()).rglob("shuffle_*")}
+
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = files()
+    kept = shared_checkpoint(frame)
+    late = time.time() + 10
+    while (left := files() - before) and time.time() < late:
+        time.sleep(0.1)
+    assert not left
+    assert sorted(kept.collect()) == sorted(frame.collect()) and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------
 def test_language(spark):
     frame = documents(spark, "/root/testdata/sf0.01")

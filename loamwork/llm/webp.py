@@ -197,6 +197,24 @@ def _prefix_parts(symbols: np.ndarray):
     return np.where(symbols < 4, symbols + 1, ((2 + (symbols & 1)) << extra) + 1), np.where(symbols < 4, 0, extra)
 
 
+def _walked(following: np.ndarray, q: int, most: int) -> np.ndarray:
+    """The places met from q on, each one's follower the next, until the last place, which follows itself; or most of them, or a few more.
+
+    Steps of eight are walked, and the places between are looked up at once."""
+    end = len(following) - 1
+    two = following[following]
+    four = two[two]
+    walk, starts = memoryview(four[four]), [q]
+    while q < end and 8 * len(starts) < most:
+        starts += [q := walk[q] for _ in range(min(64, most // 8 + 1))]
+    out = np.empty((len(starts), 8), dtype=np.int64)
+    out[:, 0] = np.fromiter(starts, dtype=np.int64, count=len(starts))
+    out[:, 4] = four[out[:, 0]]
+    out[:, 2::4] = two[out[:, ::4]]
+    out[:, 1::2] = following[out[:, ::2]]
+    return out.ravel()
+
+
 def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, height: int) -> np.ndarray:
     """The pixels of an image with one group of codes.  A token is a literal's ARGB, a cache slot or a copy's length and distance."""
     green, red, blue, alpha, distance = codes
@@ -243,14 +261,11 @@ def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, hei
         q += found & 15
         reach = far + (windows(q) & ((1 << extra) - 1))
         following[copies] = q + extra
-        walk, q = memoryview(np.append(np.minimum(following, n), np.int32(n))), p - 8 * first
+        q = p - 8 * first
         if green.longest or not lean:
-            starts = [q]
-            while q < n and len(starts) < total - at:
-                starts += [q := walk[q] for _ in range(min(512, total - at))]
+            own = _walked(np.append(np.minimum(following, n), n).astype(np.intp), q, total - at)
         else:  # no token takes a bit
-            starts = [q] * (total - at)
-        own = np.array(starts, dtype=np.int64)
+            own = np.full(total - at, q)
         own = own[: min(int(np.searchsorted(own, n)), total - at)]
         s = (entry[own] >> 4).astype(np.int64)
         is_copy = (s >= 256) & (s < 280)
@@ -505,7 +520,8 @@ def decode(data: bytes) -> np.ndarray:
             argb = _invert_subtract_green(argb)
         else:
             argb = _invert_palette(argb, side, outer)
-    out = np.ascontiguousarray(argb, dtype="<u4").view(np.uint8).reshape(*argb.shape, 4)[..., [2, 1, 0, 3]]
+    argb = argb & 0xFF00FF00 | (argb & 0xFF) << 16 | argb >> 16 & 0xFF  # red first
+    out = np.ascontiguousarray(argb, dtype="<u4").view(np.uint8).reshape(*argb.shape, 4)
     if not alpha:
         out[..., 3] = 255
     return out

@@ -43,8 +43,8 @@ def bits_of(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(widths)
     if not len(ends) or not ends[-1]:
         return np.empty(0, dtype=np.uint8)
-    shift = np.arange(ends[-1]) - np.repeat(ends - widths, widths)
-    return (np.repeat(values, widths) >> shift.astype(np.uint64) & np.uint64(1)).astype(np.uint8)
+    shift = np.arange(ends[-1], dtype=np.uint64) - np.repeat((ends - widths).astype(np.uint64), widths)
+    return (np.repeat(values, widths) >> shift & np.uint64(1)).astype(np.uint8)
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -118,11 +118,12 @@ def write_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inner = code_lengths(kinds, 7) if (kinds > 0).sum() > 1 else (kinds > 0).astype(np.int64)
     words = codewords(inner).tolist()
     widths = inner.tolist() if (kinds > 0).sum() > 1 else [0] * 19
-    places = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if inner[s]) + 1
+    three = inner.tolist()
+    places = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if three[s]) + 1
     out.put(0, 1)
     out.put(max(4, places) - 4, 4)
     for s in CODE_LENGTH_ORDER[: max(4, places)]:
-        out.put(int(inner[s]), 3)
+        out.put(three[s], 3)
     out.put(0, 1)
     word, length = 0, 0
     for symbol, extra, n in tokens:
@@ -362,11 +363,9 @@ def encode(pixels: np.ndarray) -> bytes:
     height, width, samples = pixels.shape
     if not 0 < width <= MAX_SIDE or not 0 < height <= MAX_SIDE:
         raise WebpError(f"sides must lie between 1 and {MAX_SIDE}")
-    argb = np.empty((height, width, 4), dtype=np.uint8)
-    argb[..., :3] = pixels[..., 2::-1]
-    argb[..., 3] = pixels[..., 3] if samples == 4 else 255
-    alpha = bool((argb[..., 3] != 255).any())
-    argb = argb.view(np.uint32)[..., 0]
+    red, green, blue = (pixels[..., k].astype(np.uint32) for k in range(3))
+    argb = red << np.uint32(16) | green << np.uint32(8) | blue | (pixels[..., 3].astype(np.uint32) << np.uint32(24) if samples == 4 else np.uint32(0xFF000000))
+    alpha = samples == 4 and bool((pixels[..., 3] != 255).any())
     transforms, argb = _transformed(argb)
     out, parts = BitWriter(), []
     out.put(0x2F, 8)
@@ -404,7 +403,7 @@ def _transformed(argb: np.ndarray) -> tuple[list[tuple[int, np.ndarray | None]],
     if not grey and (crossed := _uncoloured(rest)) is not None and (now := worth(crossed[1]) + 64) < bits:
         out.append((CROSS_COLOUR, crossed[0]))
         rest, bits = crossed[1], now
-    bare = _without_green(rest)
+    bare = rest & np.uint32(0xFF00FF00) if grey else _without_green(rest)
     if (now := bits / 3 + 22 if grey else worth(bare)) < bits:
         out.append((SUBTRACT_GREEN, None))
         rest, bits = bare, now

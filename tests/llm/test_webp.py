@@ -318,3 +318,15 @@ def test_media_columns(spark):
     assert [(r["pixels"], r["error"] is None) for r in media.decode_media(odd).orderBy("doc_id").collect()] == [(None, True), (None, False)]
     digests = {(r["doc_id"], r["payload_bytes"], r["n_bytes"]) for r in media.media_digest(docs).collect()}
     assert digests == {(1, 192, 0), (2, 192, 5)} and media.media_digest(docs.limit(0)).count() == 0
+
+
+def test_walk_by_eights_meets_each_token():
+    rng = np.random.default_rng(3)
+    following = np.append(np.minimum(np.arange(500) + rng.integers(1, 15, 500), 500), 500)
+    at, plain = 7, []
+    while at < 500:
+        plain.append(at)
+        at = int(following[at])
+    got = webp._walked(following, 7, 10_000)
+    assert got[got < 500].tolist() == plain
+    assert webp._walked(following, 7, 5)[:5].tolist() == plain[:5] and webp._walked(following, 500, 3).min() == 500

@@ -33,7 +33,7 @@ def image_of(payload: bytes) -> np.ndarray:
         raise webp.WebpError(f"no image holds {len(grey)} bytes")
     rows = -(-len(grey) // width)
     if rows * width == len(grey):
-        return np.repeat(grey[:, None], 3, axis=1).reshape(rows, width, 3)
+        return np.broadcast_to(grey.reshape(rows, width, 1), (rows, width, 3))
     out = np.zeros((rows * width, 4), dtype=np.uint8)
     out[: len(grey), :3] = grey[:, None]
     out[: len(grey), 3] = 255

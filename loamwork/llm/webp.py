@@ -14,6 +14,7 @@ by symbol.  Predictors that need no left neighbour are undone a row at a time.
 
 from __future__ import annotations
 
+import functools
 import struct
 from array import array
 
@@ -43,6 +44,12 @@ ALPHABETS = (256 + 24, 256, 256, 256, 40)  # green with lengths, red, blue, alph
 TURNED = [int(t) for t in (np.arange(1 << 15)[:, None] >> np.arange(15) & 1) @ (1 << np.arange(14, -1, -1))]
 
 
+@functools.cache
+def _turned(n: int) -> np.ndarray:
+    """The numbers of n bits with their bits turned round."""
+    return np.array(TURNED[:: 1 << 15 - n])
+
+
 class WebpError(ValueError):
     """The bytes are not a lossless WebP stream."""
 
@@ -95,20 +102,16 @@ class _Code:
     """A prefix code: ``table`` has symbol << 4 | length for the next ``longest`` bits of the stream."""
 
     def __init__(self, lengths: dict[int, int]):
-        used = sorted((n, s) for s, n in lengths.items() if n)
+        used = sorted([n << 16 | s for s, n in lengths.items() if n])
         if len(used) < 2:
-            self.longest, self.table = 0, np.array([used[0][1] << 4 if used else 0], dtype=np.int32)
+            self.longest, self.table = 0, np.array([(used[0] & 0xFFFF) << 4 if used else 0], dtype=np.int32)
         else:
-            if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
+            if sum([1 << 15 - (k >> 16) for k in used]) != 1 << 15:
                 raise WebpError("a prefix code is not complete")
-            self.longest = used[-1][0]
-            self.table = np.empty(1 << self.longest, dtype=np.int32)
-            code, last = 0, used[0][0]
-            for n, s in used:
-                code <<= n - last
-                last = n
-                self.table[TURNED[code << (15 - n)] :: 1 << n] = s << 4 | n
-                code += 1
+            self.longest = used[-1] >> 16
+            keys = np.array(used, dtype=np.int32)
+            lengths = keys >> 16
+            self.table = np.repeat((keys & 0xFFFF) << 4 | lengths, 1 << self.longest - lengths)[_turned(self.longest)]
         self.mask = (1 << self.longest) - 1
         self.walk = memoryview(self.table)
 
@@ -123,16 +126,17 @@ class _Code:
 
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
-    if bits.read(1):
-        two = bits.read(1)
-        symbols = [bits.read(8 if bits.read(1) else 1)]
-        if two:
-            symbols.append(bits.read(8))
+    head = bits.peek(19)
+    if head & 1:
+        two, n = head >> 1 & 1, 8 if head & 4 else 1
+        symbols = [head >> 3 & (1 << n) - 1, head >> 3 + n & 255][: 1 + two]
+        bits.skip(3 + n + 8 * two)
         if max(symbols) >= alphabet:
             raise WebpError("a symbol lies outside its alphabet")
-        return _Code({s: 1 for s in symbols})
-    lengths = {CODE_LENGTH_ORDER[k]: bits.read(3) for k in range(4 + bits.read(4))}
-    reader = _Code(lengths)
+        return _Code(dict.fromkeys(symbols, 1))
+    bits.skip(5)
+    three = bits.read(3 * (n := 4 + (head >> 1 & 15)))
+    reader = _Code({CODE_LENGTH_ORDER[k]: three >> 3 * k & 7 for k in range(n)})
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     out: dict[int, int] = {}
     at, previous = 0, 8
@@ -191,10 +195,9 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
 STRETCH = 1 << 14
 
 
-def _prefix_parts(symbols: np.ndarray):
-    """The base and the number of extra bits of length or distance symbols."""
-    extra = np.maximum(symbols - 2, 0) >> 1
-    return np.where(symbols < 4, symbols + 1, ((2 + (symbols & 1)) << extra) + 1), np.where(symbols < 4, 0, extra)
+#: The least length or distance of each prefix symbol, and the number of its extra bits.
+LEAST = np.array([1, 2, 3, 4] + [((2 + (s & 1)) << (s - 2 >> 1)) + 1 for s in range(4, ALPHABETS[4])])
+EXTRA = np.array([0, 0, 0, 0] + [s - 2 >> 1 for s in range(4, ALPHABETS[4])])
 
 
 def _walked(following: np.ndarray, q: int, most: int) -> np.ndarray:
@@ -227,67 +230,76 @@ def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, hei
         if p > 8 * len(bits.data):
             raise WebpError("the stream ends early")
         first = p // 8
-        raw = np.frombuffer(bits.data[first : first + STRETCH + 16].ljust(16, b"\0") + bytes(16), np.uint8).astype(np.uint64)
-        words = raw[:-7].copy()
-        for k in range(1, 8):
-            words |= raw[k : len(words) + k] << np.uint64(8 * k)
+        raw = bits.data[first : first + STRETCH + 16].ljust(16, b"\0") + bytes(16)
+        words = np.ndarray(len(raw) - 7, "<i8", raw, strides=(1,)).copy()  # from each byte on
         # the bits at which a token may start: what it needs lies within the words
         n = 8 * STRETCH if first + STRETCH + 16 < len(bits.data) else 8 * len(words) - 64
 
         def windows(q: np.ndarray) -> np.ndarray:
-            """The next 32 bits at places of the stretch."""
-            return (words[q >> 3] >> (q & 7).astype(np.uint64)).astype(np.uint32)
+            """The next 57 bits at places of the stretch, below others."""
+            return words[q >> 3] >> (q & 7)
 
-        every = (words.astype(np.uint32)[: n // 8 + 1, None] >> np.arange(8, dtype=np.uint32)).ravel()[:n]
-        entry = green.at(every)
-        following = entry & 15
-        following += np.arange(n, dtype=np.int32)
+        entry = green.at((words[: n // 8, None] >> np.arange(8)).ravel())
+        following = np.arange(n + 1)
+        following[:n] += entry & 15
         special = np.flatnonzero(entry >= 256 << 4) if has_special else none
         if not lean:
-            q = following.astype(np.int64)
+            q = following[:n].copy()
             for code in (red, blue, alpha):
                 if code.longest:
                     q += code.at(windows(q)) & 15
             q[special] = following[special]
-            following = q.astype(np.int32)
-        symbol = entry[special] >> 4
-        copies = special[symbol < 280]
-        base, extra = _prefix_parts(symbol[symbol < 280] - 256)
-        q = following[copies].astype(np.int64)
-        lengths = base + (windows(q) & ((1 << extra) - 1))
-        q += extra
-        found = distance.at(windows(q))
-        far, extra = _prefix_parts(found >> 4)
-        q += found & 15
-        reach = far + (windows(q) & ((1 << extra) - 1))
-        following[copies] = q + extra
+            following[:n] = q
+        if has_special:
+            symbol = entry[special] >> 4
+            copies = special[symbol < 280]
+            symbol = symbol[symbol < 280] - 256
+            q = following[copies]
+            ahead, extra = windows(q), EXTRA[symbol]  # at most 10 bits, a code of 15 and another 18
+            lengths = LEAST[symbol] + (ahead & ((1 << extra) - 1))
+            q += extra
+            ahead >>= extra
+            found = distance.at(ahead)
+            q += found & 15
+            ahead >>= found & 15
+            extra = EXTRA[found >> 4]
+            reach = LEAST[found >> 4] + (ahead & ((1 << extra) - 1))
+            following[copies] = q + extra
         q = p - 8 * first
         if green.longest or not lean:
-            own = _walked(np.append(np.minimum(following, n), n).astype(np.intp), q, total - at)
+            own = _walked(np.minimum(following, n), q, total - at)
         else:  # no token takes a bit
             own = np.full(total - at, q)
-        own = own[: min(int(np.searchsorted(own, n)), total - at)]
-        s = (entry[own] >> 4).astype(np.int64)
-        is_copy = (s >= 256) & (s < 280)
-        place = np.searchsorted(copies, own[is_copy])
-        step = np.ones(len(own), dtype=np.int64)
-        step[is_copy] = lengths[place]
-        until = at + np.cumsum(step)
-        kept = int(np.searchsorted(until, total)) + 1  # what the walk met beyond the image's end is no token
-        if kept < len(own):
-            own, s, is_copy, step, place = own[:kept], s[:kept], is_copy[:kept], step[:kept], place[: int(is_copy[:kept].sum())]
-        at += int(step.sum())
+        own = own[: min(int(own.searchsorted(n)), total - at)]
+        got = entry[own]
+        s, ends = (got >> 4).astype(np.int64), own + (got & 15)
+        if has_special:
+            copied = np.flatnonzero((s >= 256) & (s < 280))
+            place = copies.searchsorted(own[copied])
+            step = np.ones(len(own), dtype=np.int64)
+            step[copied] = lengths[place]
+            until = at + np.cumsum(step)
+            kept = int(until.searchsorted(total)) + 1  # what the walk met beyond the image's end is no token
+            if kept < len(own):
+                own, s, ends, step = own[:kept], s[:kept], ends[:kept], step[:kept]
+                copied = copied[: int(copied.searchsorted(kept))]
+                place = place[: len(copied)]
+            at = int(until[len(own) - 1])
+        else:
+            at += len(own)
         p = 8 * first + int(following[own[-1]])
-        ends = own + (entry[own] & 15)
-        channels = []
-        for code in (red, blue, alpha):
-            got = code.at(windows(ends)) if code.longest else code.table
-            ends = ends + (got & 15)
-            channels.append((got >> 4).astype(np.int64))
-        r, b, a = channels
-        value = np.where(s < 256, a << 24 | r << 16 | s << 8 | b, s - 280 | 1 << 32)
-        if len(place):
-            value[is_copy] = step[is_copy] | 2 << 32
+        value = s << 8
+        for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            if code.longest:
+                got = code.at(windows(ends))
+                ends += got & 15
+                value |= (got >> 4).astype(np.int64) << shift
+            else:
+                value |= int(code.table[0]) >> 4 << shift
+        if has_special:
+            if cache_bits:
+                value = np.where(s < 256, value, s - 280 | 1 << 32)
+            value[copied] = step[copied] | 2 << 32
             distances.append(reach[place])
         values.append(value)
     if p > 8 * len(bits.data) or at > total:
@@ -339,9 +351,15 @@ def _replayed(value: np.ndarray, distances: list[int], cache_bits: int) -> np.nd
     return np.frombuffer(out, dtype=np.uint32)
 
 
+@functools.lru_cache(maxsize=64)
+def _short(width: int) -> np.ndarray:
+    """The distances of the short codes in an image of this width."""
+    return np.array([max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES])
+
+
 def _distances(codes: np.ndarray, width: int) -> list[int]:
-    short = np.array([max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES]) if len(codes) and codes.min() <= len(SHORT_DISTANCES) else np.ones(1, dtype=np.int64)
-    return np.where(codes > len(SHORT_DISTANCES), codes.astype(np.int64) - len(SHORT_DISTANCES), short[np.minimum(codes, len(short)) - 1]).tolist()
+    n = len(SHORT_DISTANCES)
+    return np.where(codes > n, codes - n, _short(width)[np.minimum(codes, n) - 1]).tolist()
 
 
 def _distance(code: int, width: int) -> int:
@@ -465,8 +483,10 @@ def _invert_cross_colour(argb: np.ndarray, elements: np.ndarray, bits: int) -> n
 
 
 def _invert_subtract_green(argb: np.ndarray) -> np.ndarray:
-    green = argb >> 8 & 0xFF
-    return argb & 0xFF00FF00 | ((argb >> 16) + green & 0xFF) << 16 | (argb + green & 0xFF)
+    c = np.array(argb, dtype="<u4", order="C").view(np.uint8).reshape(*argb.shape, 4)
+    c[..., 0] += c[..., 1]
+    c[..., 2] += c[..., 1]
+    return c.view("<u4")[..., 0]
 
 
 def _invert_palette(argb: np.ndarray, palette: np.ndarray, width: int) -> np.ndarray:
@@ -520,8 +540,9 @@ def decode(data: bytes) -> np.ndarray:
             argb = _invert_subtract_green(argb)
         else:
             argb = _invert_palette(argb, side, outer)
-    argb = argb & 0xFF00FF00 | (argb & 0xFF) << 16 | argb >> 16 & 0xFF  # red first
-    out = np.ascontiguousarray(argb, dtype="<u4").view(np.uint8).reshape(*argb.shape, 4)
-    if not alpha:
-        out[..., 3] = 255
+    c = np.ascontiguousarray(argb, dtype="<u4").view(np.uint8).reshape(*argb.shape, 4)
+    out = np.empty_like(c)
+    for k in range(3):
+        out[..., k] = c[..., 2 - k]
+    out[..., 3] = c[..., 3] if alpha else 255
     return out

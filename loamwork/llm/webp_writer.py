@@ -8,11 +8,12 @@ that is estimated to be shorter, references to a colour cache; all go through pr
 from __future__ import annotations
 
 import functools
+import math
 import struct
 
 import numpy as np
 
-from loamwork.llm.webp import ALPHABETS, CACHE_MULTIPLIER, CODE_LENGTH_ORDER, CROSS_COLOUR, MAX_SIDE, PALETTE, PREDICTOR, SHORT_DISTANCES, SUBTRACT_GREEN, TURNED, WebpError
+from loamwork.llm.webp import ALPHABETS, CACHE_MULTIPLIER, CODE_LENGTH_ORDER, CROSS_COLOUR, EXTRA, LEAST, MAX_SIDE, PALETTE, PREDICTOR, SHORT_DISTANCES, SUBTRACT_GREEN, TURNED, WebpError
 
 #: Pixels of the shortest back-reference, and how far and long one may reach.
 LEAST_COPY = {False: 3, True: 7}  # by whether a literal has one sample that is not constant
@@ -38,51 +39,58 @@ class BitWriter:
         return np.unpackbits(np.frombuffer(self.word.to_bytes(-(-self.n // 8) or 1, "little"), np.uint8), bitorder="little")[: self.n]
 
 
-def bits_of(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """The fields' bits one after the other."""
+def packed(values: np.ndarray, widths: np.ndarray) -> tuple[int, int]:
+    """The fields, of up to 64 bits, one after the other as one number, and its bits."""
     ends = np.cumsum(widths)
-    if not len(ends) or not ends[-1]:
-        return np.empty(0, dtype=np.uint8)
-    shift = np.arange(ends[-1], dtype=np.uint64) - np.repeat((ends - widths).astype(np.uint64), widths)
-    return (np.repeat(values, widths) >> shift & np.uint64(1)).astype(np.uint8)
-
-
-def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
-    """Lengths of a complete prefix code of two used symbols or more: the bits each is worth, rounded up, and what that leaves
-    unused given to the symbols that gain the most."""
-    used = np.flatnonzero(counts)
-    own = counts[used]
-    share = np.log2(own.sum() / own)
-    rounded = np.clip(np.ceil(share), 1, limit).astype(np.int64)
-    length = rounded.tolist()
-    room = (1 << limit) - int((1 << (limit - rounded)).sum())
+    n = int(ends[-1]) if len(ends) else 0
+    if not n:
+        return 0, 0
+    starts = ends - widths
+    shift = (starts & 63).astype(np.uint64)
+    place = starts >> 6
+    last = np.append(np.flatnonzero(place[1:] != place[:-1]), len(place) - 1)  # as no field is longer than a word, one starts in each
+    words = np.zeros(len(last) + 1, dtype=np.uint64)
+    words[:-1] = np.bitwise_or.reduceat(values << shift, np.concatenate(([0], last[:-1] + 1)))
+    words[1:] |= values[last] >> np.uint64(1) >> (np.uint64(63) - shift[last])
+    return int.from_bytes(words.tobytes(), "little"), n
+
+
+def _lengths(own: list[int], limit: int) -> list[int]:
+    """code_lengths() of symbols that all occur."""
+    total = sum(own)
+    share = [math.log2(total / c) for c in own]
+    length = [min(max(math.ceil(s), 1), limit) for s in share]
+    order = sorted(range(len(own)), key=[s - n for s, n in zip(share, length)].__getitem__)
+    room = (1 << limit) - sum([1 << limit - n for n in length])
     if room < 0:  # symbols at the limit take more than their share: lengthen the rarest of the others
-        for k in np.argsort(own, kind="stable").tolist():
+        for k in sorted(range(len(own)), key=own.__getitem__):
             while length[k] < limit and room < 0:
                 length[k] += 1
                 room += 1 << limit - length[k]
-    order = np.argsort(share - rounded, kind="stable").tolist()
     while room:
         for k in order:
             if length[k] > 1 and (more := 1 << limit - length[k]) <= room:
                 length[k] -= 1
                 room -= more
-    out = np.zeros(len(counts), dtype=np.int64)
-    out[used] = length
-    return out
+    return length
 
 
-_TURNED = np.array(TURNED, dtype=np.uint64)
+def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
+    """Lengths of a complete prefix code of two used symbols or more: the bits each is worth, rounded up, and what that leaves
+    unused given to the symbols that gain the most."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), dtype=np.int64)
+    out[used] = _lengths(counts[used].tolist(), limit)
+    return out
 
 
-def codewords(lengths: np.ndarray) -> np.ndarray:
-    """The codewords of a code, first bit lowest."""
-    out = np.zeros(len(lengths), dtype=np.uint64)
-    used = np.flatnonzero(lengths)
-    if len(used) > 1:
-        used = used[np.argsort(lengths[used], kind="stable")]
-        places = np.cumsum(1 << (15 - lengths[used]))
-        out[used] = _TURNED[np.concatenate(([0], places[:-1]))]
+def _codewords(lengths: list[int]) -> list[int]:
+    """The codewords, first bit lowest, of a code's symbols in their order."""
+    out, place = [0] * len(lengths), 0
+    if len(lengths) > 1:
+        for k in sorted(range(len(lengths)), key=lengths.__getitem__):
+            out[k] = TURNED[place]
+            place += 1 << 15 - lengths[k]
     return out
 
 
@@ -94,53 +102,57 @@ def write_single(out: BitWriter, symbol: int) -> None:
 
 def write_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write a prefix code for symbols that occur so often; give their codewords and lengths (none for a single symbol)."""
-    used = np.flatnonzero(counts)
-    none = np.zeros(len(counts), dtype=np.int64)
-    if len(used) < 2 and (not len(used) or used[0] < 256):
-        write_single(out, int(used[0]) if len(used) else 0)
-        return none.astype(np.uint64), none
-    lengths = code_lengths(counts, 15) if len(used) > 1 else (counts > 0).astype(np.int64)
+    at = np.flatnonzero(counts)
+    used = at.tolist()
+    words, widths = np.zeros(len(counts), dtype=np.uint64), np.zeros(len(counts), dtype=np.int64)
+    if len(used) < 2 and (not used or used[0] < 256):
+        write_single(out, used[0] if used else 0)
+        return words, widths
+    lengths = [1]
+    if len(used) > 1:
+        lengths = _lengths(counts[at].tolist(), 15)
+        words[at], widths[at] = _codewords(lengths), lengths
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
     last = -1
-    for s, n in [*zip(used.tolist(), lengths[used].tolist()), (len(counts), 0)]:
-        gap = s - last - 1
-        while gap >= 11:
-            tokens.append((18, min(gap, 138) - 11, 7))
-            gap -= min(gap, 138)
-        if gap >= 3:
-            tokens.append((17, gap - 3, 3))
-            gap = 0
-        tokens += [(0, 0, 0)] * gap
+    for s, n in zip([*used, len(counts)], [*lengths, 0]):
+        if gap := s - last - 1:
+            while gap >= 11:
+                tokens.append((18, min(gap, 138) - 11, 7))
+                gap -= min(gap, 138)
+            if gap >= 3:
+                tokens.append((17, gap - 3, 3))
+                gap = 0
+            tokens += [(0, 0, 0)] * gap
         if n:
             tokens.append((n, 0, 0))
         last = s
-    kinds = np.bincount([t[0] for t in tokens], minlength=19)
-    inner = code_lengths(kinds, 7) if (kinds > 0).sum() > 1 else (kinds > 0).astype(np.int64)
-    words = codewords(inner).tolist()
-    widths = inner.tolist() if (kinds > 0).sum() > 1 else [0] * 19
-    three = inner.tolist()
-    places = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if three[s]) + 1
-    out.put(0, 1)
-    out.put(max(4, places) - 4, 4)
-    for s in CODE_LENGTH_ORDER[: max(4, places)]:
-        out.put(three[s], 3)
-    out.put(0, 1)
-    word, length = 0, 0
+    kinds = [0] * 19
+    for symbol, _, _ in tokens:
+        kinds[symbol] += 1
+    known = [s for s in range(19) if kinds[s]]
+    three = [0] * 19
+    inner = _lengths([kinds[s] for s in known], 7) if len(known) > 1 else [1]
+    for s, n in zip(known, inner):
+        three[s] = n
+    field = {s: (w, n if len(known) > 1 else 0) for s, w, n in zip(known, _codewords(inner), inner)}
+    places = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if three[s]) + 1)
+    word, length = places - 4 << 1, 5  # lengths that are not simple, and how many places of them
+    for s in CODE_LENGTH_ORDER[:places]:
+        word |= three[s] << length
+        length += 3
+    length += 1  # all symbols' lengths follow
     for symbol, extra, n in tokens:
-        width = widths[symbol]
-        word |= (words[symbol] | extra << width) << length
+        turned, width = field[symbol]
+        word |= (turned | extra << width) << length
         length += width + n
     out.put(word, length)
-    return (codewords(lengths), lengths) if len(used) > 1 else (none.astype(np.uint64), none)
+    return words, widths
 
 
 def _prefix(values: np.ndarray):
     """(symbol, extra bits, their number) of lengths or distances."""
-    v = values - 1
-    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
-    extra = np.where(values > 4, high - 1, 0)
-    second = v >> np.maximum(high - 1, 0) & 1
-    return np.where(values > 4, 2 * high + second, v), np.where(values > 4, v - ((2 + second) << extra), 0), extra
+    symbol = LEAST.searchsorted(values, "right") - 1
+    return symbol, values - LEAST[symbol], EXTRA[symbol]
 
 
 @functools.lru_cache(maxsize=64)
@@ -172,7 +184,8 @@ def _copies(argb: np.ndarray, lean: bool) -> tuple[np.ndarray, np.ndarray, np.nd
         return (np.empty(0, dtype=np.int64),) * 3
     if lean:
         g = (argb >> np.uint32(8)).astype(np.uint8).astype(np.uint32)
-        before, span = _before(g[:-3] | g[1:-2] << np.uint32(8) | g[2:-1] << np.uint32(16) | g[3:] << np.uint32(24)), 4
+        pair = g[:-1] | g[1:] << np.uint32(8)
+        before, span = _before(pair[:-2] | pair[2:] << np.uint32(16)), 4
     else:
         before, span = _before(argb[:-1] * np.uint32(0x9E3779B1) ^ argb[1:] * np.uint32(0x85EBCA77)), 2
         at = np.maximum(before, 0)
@@ -198,7 +211,10 @@ def _copies(argb: np.ndarray, lean: bool) -> tuple[np.ndarray, np.ndarray, np.nd
 def _worth(counts: np.ndarray) -> float:
     """The bits of symbols that occur so often, with some for each one's code."""
     c = counts[counts > 0].astype(np.float64)
-    return float((c * np.log2(c.sum() / c)).sum() + 5 * len(c)) if len(c) > 1 else 11.0
+    if len(c) < 2:
+        return 11.0
+    n = float(c.sum())
+    return n * math.log2(n) - float(np.dot(c, np.log2(c))) + 5 * len(c)
 
 
 def _channel_counts(argb: np.ndarray) -> list[np.ndarray]:
@@ -209,21 +225,21 @@ def _plain_bits(argb: np.ndarray) -> float:
     return sum(map(_worth, _channel_counts(argb)))
 
 
-def _write_image(out: BitWriter, argb: np.ndarray, main: bool) -> np.ndarray:
-    """Write the header of an image's entropy-coded pixels to out, and give the bits that follow."""
+def _write_image(out: BitWriter, argb: np.ndarray, main: bool) -> None:
+    """Write an image's entropy-coded pixels."""
     height, width = argb.shape
     flat = np.ascontiguousarray(argb).ravel()
-    kind = np.zeros(len(flat), dtype=np.int8)  # 0 literal, 1 cache, 2 copy, 3 within a copy
     beside = flat & np.uint32(0xFFFF00FF)
     lean = bool((beside == beside[0]).all())  # green alone varies: a literal is one symbol, and a cache could not be shorter
     starts, lengths, distances = _copies(flat, lean)
     copies = len(starts) > 0
+    kind = np.zeros(len(flat) + 1, dtype=np.int8)  # 0 literal, 1 the first pixel of a copy, 2 within a copy, 3 cache
     if copies:
-        edge = np.zeros(len(flat) + 1, dtype=np.int32)
-        edge[starts] += 1
-        edge[starts + lengths] -= 1
-        kind[np.cumsum(edge[:-1]) > 0] = 3
         kind[starts] = 2
+        kind[starts + lengths] -= 2
+        kind = np.cumsum(kind, dtype=np.int8)
+        kind[starts] = 1
+    kind = kind[:-1]
     slot, cache_bits = None, 0
     if not lean and len(flat) >= 1 << CACHE_BITS:
         slot = (flat * np.uint32(CACHE_MULTIPLIER) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
@@ -233,54 +249,48 @@ def _write_image(out: BitWriter, argb: np.ndarray, main: bool) -> np.ndarray:
         g, *rest = (np.bincount(flat[kind == 0] >> np.uint32(s) & np.uint32(255), minlength=256) for s in (8, 16, 0, 24))
         h, *others = (np.bincount(lone >> np.uint32(s) & np.uint32(255), minlength=256) for s in (8, 16, 0, 24))
         if _worth(np.concatenate([h, np.bincount(slot[hit], minlength=1 << CACHE_BITS)])) + sum(map(_worth, others)) < _worth(g) + sum(map(_worth, rest)):
-            kind[hit] = 1
+            kind[hit] = 3
             cache_bits = CACHE_BITS
     out.put(int(cache_bits > 0), 1)
     if cache_bits:
         out.put(cache_bits, 4)
     if main:
         out.put(0, 1)  # one group of codes
-    token = np.flatnonzero(kind != 3)
-    what = kind[token]
+    token = np.flatnonzero(kind != 2) if copies else np.arange(len(flat))
     pixel = flat[token].astype(np.int64)
-    literal = what == 0
     symbol = pixel >> 8 & 0xFF
     if cache_bits:
-        symbol[what == 1] = 280 + slot[token[what == 1]]
+        cached = kind[token] == 3
+        symbol[cached] = 280 + slot[token[cached]]
     n_alphabet = ALPHABETS[0] + ((1 << cache_bits) if cache_bits else 0)
     far = np.empty(0, dtype=np.int64)
     if copies:
-        d = distances
+        copied = token.searchsorted(starts)
         size, size_extra, size_bits = _prefix(lengths)
-        symbol[what == 2] = 256 + size
+        symbol[copied] = 256 + size
         near, near_code = _short(width)
-        at = np.minimum(np.searchsorted(near, d), len(near) - 1)
-        far, far_extra, far_bits = _prefix(np.where(near[at] == d, near_code[at], d + len(SHORT_DISTANCES)))
+        at = np.minimum(near.searchsorted(distances), len(near) - 1)
+        far, far_extra, far_bits = _prefix(np.where(near[at] == distances, near_code[at], distances + len(SHORT_DISTANCES)))
     word, length = write_code(out, np.bincount(symbol, minlength=n_alphabet))
     value, bits = word[symbol], length[symbol]
-    for shift, alphabet in ((16, 256), (0, 256), (24, 256)):
-        if lean:
+    if lean:
+        for shift in (16, 0, 24):
             write_single(out, int(flat[0]) >> shift & 0xFF)
-            continue
-        own = pixel[literal] >> shift & 0xFF
-        word, length = write_code(out, np.bincount(own, minlength=alphabet))
-        value[literal] |= word[own] << bits[literal].astype(np.uint64)
-        bits[literal] += length[own]
+    else:
+        literal = kind[token] == 0
+        for shift in (16, 0, 24):
+            own = pixel[literal] >> shift & 0xFF
+            word, length = write_code(out, np.bincount(own, minlength=256))
+            value[literal] |= word[own] << bits[literal].astype(np.uint64)
+            bits[literal] += length[own]
     word, length = write_code(out, np.bincount(far, minlength=ALPHABETS[4]))
     if copies:
-        v, b = value[what == 2], bits[what == 2]
+        v, b = value[copied], bits[copied]
         for more, n in ((size_extra, size_bits), (word[far], length[far]), (far_extra, far_bits)):
             v |= more.astype(np.uint64) << b.astype(np.uint64)
-            b = b + n
-        value[what == 2], bits[what == 2] = v, b
-    return bits_of(value, bits)
-
-
-def _put_image(out: BitWriter, parts: list[np.ndarray], argb: np.ndarray, main: bool) -> BitWriter:
-    """Write an image; give a writer for what follows."""
-    body = _write_image(out, argb, main)
-    parts += [out.array(), body]
-    return BitWriter()
+            b += n
+        value[copied], bits[copied] = v, b
+    out.put(*packed(value, bits))
 
 
 def _residual(argb: np.ndarray, mode: int) -> np.ndarray:
@@ -363,11 +373,13 @@ def encode(pixels: np.ndarray) -> bytes:
     height, width, samples = pixels.shape
     if not 0 < width <= MAX_SIDE or not 0 < height <= MAX_SIDE:
         raise WebpError(f"sides must lie between 1 and {MAX_SIDE}")
-    red, green, blue = (pixels[..., k].astype(np.uint32) for k in range(3))
-    argb = red << np.uint32(16) | green << np.uint32(8) | blue | (pixels[..., 3].astype(np.uint32) << np.uint32(24) if samples == 4 else np.uint32(0xFF000000))
+    argb = np.empty((height, width, 4), dtype=np.uint8)
+    for k in range(3):
+        argb[..., 2 - k] = pixels[..., k]
+    argb[..., 3] = pixels[..., 3] if samples == 4 else 255
     alpha = samples == 4 and bool((pixels[..., 3] != 255).any())
-    transforms, argb = _transformed(argb)
-    out, parts = BitWriter(), []
+    transforms, argb = _transformed(argb.view("<u4")[..., 0])
+    out = BitWriter()
     out.put(0x2F, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
@@ -382,10 +394,10 @@ def encode(pixels: np.ndarray) -> bytes:
             out.put(len(colours) - 1, 8)
             side = np.diff(colours, axis=0, prepend=np.zeros((1, 4), np.uint8)).view(np.uint32).reshape(1, -1)
         if side is not None:
-            out = _put_image(out, parts, side, False)
+            _write_image(out, side, False)
     out.put(0, 1)  # no further transform
-    _put_image(out, parts, argb, True)
-    return container(np.packbits(np.concatenate(parts), bitorder="little").tobytes())
+    _write_image(out, argb, True)
+    return container(out.word.to_bytes(-(-out.n // 8), "little"))
 
 
 def _transformed(argb: np.ndarray) -> tuple[list[tuple[int, np.ndarray | None]], np.ndarray]:
@@ -395,8 +407,10 @@ def _transformed(argb: np.ndarray) -> tuple[list[tuple[int, np.ndarray | None]],
     what is left is worth fewer bits.
     """
     grey = bool(((argb ^ argb >> np.uint32(8)) & np.uint32(0xFFFF) == 0).all())  # so green alone tells the others
-    worth = _plain_bits if not grey else lambda image: 3 * _worth(np.bincount((image >> np.uint32(8) & np.uint32(255)).ravel(), minlength=256))
-    bits, out, rest = worth(argb), [], argb
+    greens = lambda image: np.bincount((image >> np.uint32(8)).astype(np.uint8).ravel(), minlength=256)
+    worth = _plain_bits if not grey else lambda image: 3 * _worth(greens(image))
+    own = greens(argb) if grey else None
+    bits, out, rest = 3 * _worth(own) if grey else worth(argb), [], argb
     if (guessed := _predicted(rest)) is not None and (now := worth(guessed[1]) + 64 + 2 * guessed[0].size) < bits:
         out.append((PREDICTOR, guessed[0]))
         rest, bits = guessed[1], now
@@ -407,6 +421,8 @@ def _transformed(argb: np.ndarray) -> tuple[list[tuple[int, np.ndarray | None]],
     if (now := bits / 3 + 22 if grey else worth(bare)) < bits:
         out.append((SUBTRACT_GREEN, None))
         rest, bits = bare, now
+    if grey and np.count_nonzero(own) > 16:
+        return out, rest
     if (few := _indexed(argb, 16 if grey else 256)) is not None and 40 + 12 * len(few[0]) + _plain_bits(few[1]) < bits:
         return [(PALETTE, few[0])], few[1]
     return out, rest

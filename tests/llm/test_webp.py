@@ -1,5 +1,7 @@
 """The decoder against streams written here with every feature of the format, and the encoder's round trip."""
 
+import sys
+
 import numpy as np
 import pytest
 
@@ -330,3 +332,54 @@ def test_walk_by_eights_meets_each_token():
     got = webp._walked(following, 7, 10_000)
     assert got[got < 500].tolist() == plain
     assert webp._walked(following, 7, 5)[:5].tolist() == plain[:5] and webp._walked(following, 500, 3).min() == 500
+
+
+def test_fields_are_packed_without_gaps():
+    rng = np.random.default_rng(11)
+    for n, most in ((0, 9), (1, 64), (700, 3), (700, 64), (64, 64)):
+        widths = rng.integers(0, most + 1, n)
+        values = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        values = np.array([int(v) & (1 << w) - 1 for v, w in zip(values.tolist(), widths.tolist())], dtype=np.uint64)
+        plain = webp_writer.BitWriter()
+        for v, w in zip(values.tolist(), widths.tolist()):
+            plain.put(v, w)
+        assert webp_writer.packed(values, widths) == (plain.word, plain.n)
+    for widths in ([64] * 5, [0] * 5, [60, 4, 0, 0, 64, 0]):  # fields that end with a word
+        values = np.array([(1 << w) - 1 for w in widths], dtype=np.uint64)
+        assert webp_writer.packed(values, np.array(widths)) == ((1 << sum(widths)) - 1, sum(widths))
+
+
+def test_prefix_symbols_of_every_size():
+    values = np.array([*range(1, 5000), 2**20 - 120, 2**20])
+    assert list(zip(*(x.tolist() for x in webp_writer._prefix(values)))) == [prefix(int(v)) for v in values]
+
+
+@pytest.mark.parametrize("place", range(30))
+def test_tokens_over_the_edge_of_a_stretch(monkeypatch, place):
+    """Long streams are looked up a stretch at a time: literals, copies and cache references that begin in one and end in the next."""
+    monkeypatch.setattr(webp, "STRETCH", 32)
+    rng = np.random.default_rng(place)
+    text = " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(1, 9)))) for _ in range(99)) * (1 + place % 3)
+    payload = media.payload_of(text)
+    assert media.samples_of(webp.decode(webp_writer.encode(media.image_of(payload)))) == payload
+    colours = rng.integers(0, 256, (300, 3))[rng.integers(0, 300, (16, 40)) ** 2 // 300].astype(np.uint8)
+    assert (webp.decode(webp_writer.encode(colours))[..., :3] == colours).all()
+
+
+def test_a_text_takes_few_calls():
+    """Most texts are short: what their files cost is the number of calls (3,168 here before)."""
+    words = [w * n for w in ("lorem", "ipsum", "dolor", "sit", "amet,") for n in (1, 2)]
+    image = media.image_of(media.payload_of(" ".join(words[k] for k in np.random.default_rng(5).integers(0, len(words), 300))))
+    webp.decode(webp_writer.encode(image))  # tables that are kept
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        webp.decode(webp_writer.encode(image))
+    finally:
+        sys.setprofile(None)
+    assert calls < 2600
